@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from octolith.llm import chat, exact_dedup, packing, quality
+from octolith.llm import chat, exact_dedup, packing, quality, simhash
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_chat_format": chat.op1_chat_format,
         "op7_pack_pow2": packing.op7_pack_pow2,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_simhash_gray": simhash.op9_simhash_gray,
         "op10_quality_forest": quality.op10_quality_forest,
     }
 
