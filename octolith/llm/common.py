@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +32,27 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """Write a whole file under a temporary name and rename it, so that a repeated task leaves the same single file."""
-    import uuid
+@contextmanager
+def open_output(uri: str):
+    """Yields a function that opens the file at its first call and returns the stream.
 
+    The file gets its name at the end, so that a repeated task leaves the same single file and a failed one none.
+    """
     fs, path = open_fs(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    fs.move(part, path)
+    part, opened = f"{path}.{uuid.uuid4().hex}.tmp", []
+
+    def late():
+        if not opened:
+            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            opened.append(fs.open_output_stream(part))
+        return opened[0]
+
+    yield late
+    if opened:
+        opened[0].close()
+        fs.move(part, path)
+
+
+def write_file(uri: str, data: bytes) -> None:
+    with open_output(uri) as late:
+        late().write(data)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from octolith.llm import chat, exact_dedup, packing, quality, secrets, simhash
+from octolith.llm import chat, exact_dedup, packing, quality, secrets, simhash, token_files
 
 
 def queries():
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op4_secret_battery": secrets.op4_secret_battery,
+        "op6_token_files": token_files.op6_token_files,
         "op7_pack_pow2": packing.op7_pack_pow2,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_simhash_gray": simhash.op9_simhash_gray,
