@@ -44,7 +44,7 @@ def open_output(uri: str):
     def late():
         if not opened:
             fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            opened.append(fs.open_output_stream(part))
+            opened.append(fs.open_output_stream(part, compression=None))
         return opened[0]
 
     yield late

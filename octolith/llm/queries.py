@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from octolith.llm import chat, exact_dedup, packing, quality, secrets, simhash, token_files
+from octolith.llm import chat, exact_dedup, packing, quality, secrets, simhash, token_files, warc
 
 
 def queries():
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op4_secret_battery": secrets.op4_secret_battery,
+        "op5_warc_index": warc.op5_warc_index,
         "op6_token_files": token_files.op6_token_files,
         "op7_pack_pow2": packing.op7_pack_pow2,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -20,5 +21,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_chat_format": chat.OP1_SQL,
+        "op5_warc_index": warc.OP5_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
