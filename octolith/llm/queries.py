@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from octolith.llm import chat, exact_dedup, packing, quality, secrets, simhash, token_files, warc
+from octolith.llm import bpe, chat, exact_dedup, packing, quality, secrets, simhash, token_files, warc
 
 
 def queries():
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op3_bpe_words": bpe.op3_bpe_words,
         "op4_secret_battery": secrets.op4_secret_battery,
         "op5_warc_index": warc.op5_warc_index,
         "op6_token_files": token_files.op6_token_files,
