@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from octolith.llm import bpe, chat, exact_dedup, packing, quality, secrets, simhash, token_files, warc
+from octolith.llm import bpe, chat, exact_dedup, packing, quality, secrets, sharding, simhash, token_files, warc
 
 
 def queries():
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_chat_format": chat.op1_chat_format,
+        "op2_balanced_labels": sharding.op2_balanced_labels,
         "op3_bpe_words": bpe.op3_bpe_words,
         "op4_secret_battery": secrets.op4_secret_battery,
         "op5_warc_index": warc.op5_warc_index,
