@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from octolith.plans import scalars
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+FAMILIES = [scalars]
 
 
 def queries():
-    return {}
+    return {k: f for m in FAMILIES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for m in FAMILIES for k, s in m.SQL.items()}
