@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from octolith.plans import scalars
+from octolith.plans import dataflows, scalars
 
-FAMILIES = [scalars]
+FAMILIES = [scalars, dataflows]
 
 
 def queries():
@@ -13,3 +13,7 @@ def queries():
 
 def oracle_sql():
     return {k: s for m in FAMILIES for k, s in m.SQL.items()}
+
+
+def flagship(spark, sf_dir):
+    return dataflows.flagship(spark, sf_dir)
