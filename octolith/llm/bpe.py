@@ -1,12 +1,14 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Split: every task cuts its texts into words (see units.py), numbers the distinct words of a chunk of CHUNK_WORDS or so, and
-writes, per document, the numbers in order, and, per chunk and bucket of words, one packed row of words and numbers.
-Encode: the packed rows are dealt by bucket; each word meets there all chunks that have it and is encoded once.
+emits packed rows: of documents with their words' numbers in order, and, per bucket of words, of words with numbers. One
+exchange deals document rows by chunk and word rows by bucket.
+Encode: each word meets in its bucket all chunks that have it and is encoded once.
 Join back: documents and encoded words of a chunk meet by chunk, and ids go to the words' positions by number.
 Decode: ids are joined to the table of pieces, whose key is dense, so that the join is a gather.
 
-A word crosses the network once per chunk, however often it occurs; a chunk is bounded whatever the input's size.
+A word crosses the network once per chunk, however often it occurs; a chunk is bounded whatever the input's size. A lost
+task numbers its chunks again in the same way, since chunks are named by partition and order.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; rows that share a doc_id and null doc_ids
 are encoded each for itself; a text of any length is encoded whole; an empty table gives an empty result; other columns
@@ -15,7 +17,6 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import struct
 import zlib
@@ -23,15 +24,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octolith.llm.units import REMEMBERED, byte_letters, load_tokenizer, spread, text_slices, tokenizer_spec, units_of
-from octolith.session import work_path
+from octolith.llm.common import release_memory
+from octolith.llm.token_files import binary_rows
+from octolith.llm.units import byte_letters, load_tokenizer, spread, text_slices, tokenizer_spec, units_of
 
-#: Distinct words at which a chunk is closed.
-CHUNK_WORDS = 500_000
-COUNT = "<II"
+#: Distinct words at which a chunk is closed; words remembered while buckets come one after the other.
+CHUNK_WORDS, KNOWN = 120_000, 150_000
 
 
 def planes(codes: np.ndarray) -> bytes:
@@ -43,22 +45,37 @@ def from_planes(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def pack(*parts: bytes) -> bytes:
+    """Byte strings as one, compressed."""
+    return zstandard.compress(struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts), 3)
+
+
+def unpack(blob: bytes) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    n = struct.unpack_from("<I", raw)[0]
+    at, out = 4 + 8 * n, []
+    for size in struct.unpack_from(f"<{n}Q", raw, 4):
+        out.append(raw[at : at + size])
+        at += size
+    return out
+
+
 def pack_words(words: list[bytes], numbers: np.ndarray) -> bytes:
-    sizes = np.array([len(w) for w in words], np.uint32)
-    body = b"".join(words)
-    return zlib.compress(struct.pack(COUNT, len(words), len(body)) + planes(numbers) + planes(sizes) + body, 1)
+    return pack(planes(numbers), planes(np.array([len(w) for w in words])), b"".join(words))
 
 
-def unpack_words(blob: bytes) -> tuple[list[bytes], np.ndarray]:
-    raw = zlib.decompress(blob)
-    n, _ = struct.unpack_from(COUNT, raw)
-    at = 8 + 8 * n
-    ends = np.cumsum(from_planes(raw[8 + 4 * n : at])).tolist()
-    return [raw[at + a : at + b] for a, b in zip([0, *ends], ends, strict=False)], from_planes(raw[8 : 8 + 4 * n])
+def unpack_words(blob: bytes) -> tuple[list[bytes], bytes]:
+    """Words and their packed numbers."""
+    numbers, sizes, body = unpack(blob)
+    ends = np.cumsum(from_planes(sizes), dtype=np.int64).tolist()
+    return [body[a:b] for a, b in zip([0, *ends], ends, strict=False)], numbers
 
 
-def split(docs: DataFrame, buckets: int, path: str) -> None:
-    """Write documents (kind=docs: chunk, doc_id, body) and words (kind=words: chunk, bucket, body) under path."""
+def split(docs: DataFrame, buckets: int) -> DataFrame:
+    """key, chunk, body: documents with key = chunk, words with key = -1 - bucket."""
+
+    def rows_of(keys, chunk, bodies):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([chunk] * len(keys), pa.int64()), pa.array(bodies, pa.binary())], names=["key", "chunk", "body"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -67,16 +84,15 @@ def split(docs: DataFrame, buckets: int, path: str) -> None:
 
         def close():
             keys = list(words)
+            if not keys:
+                return
             bucket = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % buckets
             order = np.argsort(bucket, kind="stable")
             begin = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
-            rows = [order[a:b] for a, b in zip(begin, np.r_[begin[1:], len(order)], strict=True)] if keys else []
+            rows = [order[a:b] for a, b in zip(begin, [*begin[1:], len(order)], strict=True)]
             for k in range(0, len(rows), 64):
                 part = rows[k : k + 64]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["words"] * len(part)), pa.array([chunk] * len(part)), pa.array([int(bucket[r[0]]) for r in part], pa.int32()), pa.nulls(len(part), pa.int64()), pa.array([pack_words([keys[i] for i in r], r) for r in part])],
-                    names=["kind", "chunk", "bucket", "doc_id", "body"],
-                )
+                yield rows_of([-1 - int(bucket[r[0]]) for r in part], chunk, [pack_words([keys[i] for i in r], r) for r in part])
 
         for batch in batches:
             for first, piece in text_slices(batch.column("text")):
@@ -84,21 +100,18 @@ def split(docs: DataFrame, buckets: int, path: str) -> None:
                 number = words.setdefault
                 table = np.array([number(w, len(words)) for w in found.dictionary.to_pylist()], np.int64)
                 codes = table[found.indices.to_numpy()] if len(found) else table
-                body = [planes(codes[a:b]) for a, b in zip(count, count[1:], strict=False)]
-                n = len(piece)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(["docs"] * n), pa.array([chunk] * n), pa.nulls(n, pa.int32()), batch.column("doc_id").slice(first, n), pa.array(body, pa.binary())],
-                    names=["kind", "chunk", "bucket", "doc_id", "body"],
-                )
+                ids = batch.column("doc_id").slice(first, len(piece))
+                yield rows_of([chunk], chunk, [pack(ids.fill_null(0).to_numpy().tobytes(), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), planes(np.diff(count)), planes(codes))])
                 if len(words) > CHUNK_WORDS:
                     yield from close()
                     words = {}
                     chunk += 1
         yield from close()
+        words = found = table = codes = None
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "kind string, chunk bigint, bucket int, doc_id bigint, body binary")
-    out.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    return rows.mapInArrow(run, "key bigint, chunk bigint, body binary")
 
 
 def encode_words(words: DataFrame, spec: str) -> DataFrame:
@@ -107,10 +120,9 @@ def encode_words(words: DataFrame, spec: str) -> DataFrame:
     def run(batches):
         tok, known = load_tokenizer(spec), {}
         for batch in batches:
-            out = []
-            for blob in batch.column("body").to_pylist():
-                words, numbers = unpack_words(blob)
-                if len(known) > REMEMBERED:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
+                words, numbers = unpack_words(blob.as_py())
+                if len(known) > KNOWN:
                     known = {}
                 new = [w for w in words if w not in known]
                 for a in range(0, len(new), 20_000):
@@ -118,48 +130,47 @@ def encode_words(words: DataFrame, spec: str) -> DataFrame:
                     for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                         known[w] = np.array(e.ids, "<u4").tobytes()
                 ids = [known[w] for w in words]
-                sizes = np.array([len(x) >> 2 for x in ids], np.uint32)
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                out.append(zlib.compress(struct.pack(COUNT, len(words), len(flat)) + planes(numbers) + planes(sizes) + planes(flat), 1))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(out, pa.binary())], names=["chunk", "body"])
+                body = pack(numbers, planes(np.array([len(x) >> 2 for x in ids])), planes(np.frombuffer(b"".join(ids), "<u4")))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([body], pa.binary())], names=["chunk", "body"])
+        known = words = new = ids = None
+        release_memory()
 
-    dealt = words.select("bucket", "chunk", "body").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.select("chunk", "body").mapInArrow(run, "chunk bigint, body binary")
+    return words.sortWithinPartitions("key").mapInArrow(run, "chunk bigint, body binary")
 
 
 def join_back(docs: DataFrame, words: DataFrame) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of the documents of each chunk."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers, sizes, ids = [], [], []
-        for blob in right.column("body").to_pylist():
-            raw = zlib.decompress(blob)
-            n, _ = struct.unpack_from(COUNT, raw)
-            at = 8
-            numbers.append(from_planes(raw[at : at + 4 * n]))
-            sizes.append(from_planes(raw[at + 4 * n : at + 8 * n]))
-            ids.append(from_planes(raw[at + 8 * n :]))
-        none = np.empty(0, np.uint32)
-        number, size, flat = (np.concatenate(x) if x else none for x in (numbers, sizes, ids))
+        parts = [list(map(from_planes, unpack(blob.as_py()))) for blob in right.column("body")]
+        number, size, flat = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.empty(0, np.uint32)] * 3
+        del parts
         start_of, size_of = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         start_of[number], size_of[number] = np.cumsum(size, dtype=np.int64) - size, size
-        out = []
-        for body in left.column("body").to_pylist():
-            codes = from_planes(body)
-            out.append(flat[spread(start_of[codes], size_of[codes])].astype("<u4").tobytes())
-        return pa.table({"doc_id": left.column("doc_id"), "ids": pa.array(out, pa.large_binary()).cast(pa.binary()) if sum(map(len, out)) < 1 << 31 else pa.chunked_array([[x] for x in out], pa.binary())})
-
-    return docs.select("chunk", "doc_id", "body").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, "doc_id bigint, ids binary")
+        doc_ids, ids = [], []
+        for blob in left.column("body"):
+            keys, null, counts, codes = unpack(blob.as_py())
+            counts, codes = from_planes(counts).astype(np.int64), from_planes(codes)
+            mask = np.unpackbits(np.frombuffer(null, np.uint8))[: len(counts)] > 0
+            doc_ids.append(pa.array(np.frombuffer(keys, np.int64), mask=mask))
+            sizes = size_of[codes]
+            total = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            ids.append(binary_rows(total[1:], flat[spread(start_of[codes], sizes)], "<u4"))
+        del number, size, flat, start_of, size_of, left, right
+        release_memory()
+        return pa.table({"doc_id": pa.chunked_array(doc_ids, pa.int64()), "ids": pa.chunked_array(ids, pa.binary())})
+
+    return docs.groupBy("key").cogroup(words.groupBy("chunk")).applyInArrow(run, "doc_id bigint, ids binary")
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of every whole text."""
-    spark, path = docs.sparkSession, work_path(docs.sparkSession, "bpe")
     # Words spread over more buckets as the input grows, and a chunk has a row for each bucket at most.
     buckets = min(8192, max(64, 4 * docs.rdd.getNumPartitions()))
-    split(docs, buckets, path)
-    rows = spark.read.schema("chunk bigint, bucket int, doc_id bigint, body binary, kind string").parquet(path)
-    return join_back(rows.where("kind = 'docs'"), encode_words(rows.where("kind = 'words'"), tokenizer_spec(tokenizer)))
+    rows = split(docs, buckets).repartition("key")
+    # spark_partition_id() keeps the filters above the exchange, which both sides then read.
+    of_docs, of_words = rows.where(F.expr("key >= 0 OR spark_partition_id() < 0")), rows.where(F.expr("key < 0 OR spark_partition_id() < 0"))
+    return join_back(of_docs, encode_words(of_words, tokenizer_spec(tokenizer)))
 
 
 def piece_table(spec: str) -> pa.Array:
@@ -179,7 +190,7 @@ def gather(table: pa.Array, values: list[bytes], between: bytes) -> list[bytes]:
     return pc.binary_join(lists, pa.scalar(between, pa.large_binary())).to_pylist()
 
 
-def small_groups(values: list[bytes], most: int = 8 << 20):
+def small_groups(values: list[bytes], most: int = 2 << 20):
     """Slices of values of about as many bytes."""
     a, size = 0, 0
     for b, v in enumerate(values):
@@ -191,20 +202,29 @@ def small_groups(values: list[bytes], most: int = 8 << 20):
         yield slice(a, len(values))
 
 
-def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids, text; special tokens are kept, and bytes that form no character become U+FFFD."""
+def decode(encoded: DataFrame, tokenizer: str, numbers: bool = False) -> DataFrame:
+    """doc_id, ids, text and perhaps numbers (the ids in decimal, with commas between).
+
+    Special tokens are kept, and bytes that form no character become U+FFFD.
+    """
     spec = tokenizer_spec(tokenizer)
 
     def run(batches):
         table = piece_table(spec)
+        decimals = pa.array([str(i).encode() for i in range(len(table))], pa.binary())
         for batch in batches:
             values = batch.column("ids").to_pylist()
             for part in small_groups(values):
                 texts = [x.decode("utf-8", "replace") for x in gather(table, values[part], b"")]
                 rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                out = {"doc_id": rows.column("doc_id"), "ids": rows.column("ids"), "text": pa.array(texts, pa.string())}
+                if numbers:
+                    out["numbers"] = pa.array(gather(decimals, values[part], b","), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        values = texts = rows = out = None
+        release_memory()
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, text string" + ", numbers string" * numbers)
 
 
 def op3_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,18 +232,6 @@ def op3_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
-
-    def digest(batches):
-        decimals = None
-        for batch in batches:
-            values = batch.column("ids").to_pylist()
-            if decimals is None:
-                decimals = pa.array([str(i).encode() for i in range(1 << 16)], pa.binary())
-            for part in small_groups(values):
-                hexes = [hashlib.sha256(x).hexdigest() for x in gather(decimals, values[part], b",")]
-                rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(v) >> 2 for v in values[part]]), pa.array(hexes), rows.column("decoded_sha256")], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    slim = out.select("doc_id", "ids", F.sha2("text", 256).alias("decoded_sha256"))
-    return slim.mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path, numbers=True)
+    n = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
+    return out.select("doc_id", n, F.sha2("numbers", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -32,6 +32,21 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def release_memory() -> None:
+    """Give memory back at the end of a task: Python workers stay, and idle ones would keep what they once needed."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @contextmanager
 def open_output(uri: str):
     """Yields a function that opens the file at its first call and returns the stream.
