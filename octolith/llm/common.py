@@ -21,6 +21,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def about(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About four times so many rows, those with the smallest hashes of the keys; all rows if there are fewer.
+
+    What follows (an order and a limit) then meets few rows, however many partitions df has.
+    """
+    total = df.count()
+    if total <= 4 * rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < F.lit(int((1 << 40) * 4 * rows / total)))
+
+
 def open_fs(uri: str):
     """(file system, path) for a URI of the shared folder, for executors that read or write plain files there."""
     from pyarrow import fs

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octolith.llm.common import open_fs, open_output
+from octolith.llm.common import about, open_fs, open_output
 from octolith.session import work_path
 
 EPOCH = "2024-01-01T00:00:00Z"
@@ -177,7 +177,8 @@ def with_roles(pages: DataFrame, least: int) -> DataFrame:
 
 def boundaries_of(pages: DataFrame, parts: int) -> list[list]:
     """Keys that split the captures into about equal parts, from SAMPLE pages with the smallest hash."""
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE).collect()
+    rows = about(pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")), SAMPLE, "page_id", "url")
+    rows = rows.orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE).collect()
     keys = sorted([url_key(r["url"]), EPOCH, [0, 0] if r["page_id"] is None else [1, r["page_id"]], "", 0] for r in rows)
     return [keys[len(keys) * k // parts] for k in range(1, parts)] if len(keys) >= parts else []
 
