@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from octolith.plans import dataflows, scalars
+from octolith.plans import dataflows, formats, scalars
 
-FAMILIES = [scalars, dataflows]
+FAMILIES = [scalars, dataflows, formats]
 
 
 def queries():
