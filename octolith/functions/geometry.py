@@ -183,7 +183,7 @@ def spacing_at(spacing: float, level: int) -> float:
 
 def candidate_level(extent: float, spacing: float) -> int:
     """The last level whose nodes are at least as large as the spacing, by a single-precision logarithm."""
-    return max(-1, int(math.floor(np.log2(np.float32(extent / spacing)))) - 1)
+    return max(-1, int(math.floor(np.log2(np.float32(extent / spacing)))) - 1) if extent > 0 else -1
 
 
 def candidate_level_column(extent, spacing) -> Column:
