@@ -74,9 +74,9 @@ def dedup_batch(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """
     groups = materialize(groups_of(docs), "digest-groups")
     index.append_new(groups)
-    stands = groups.drop("keep_id").join(index.entries().hint("merge"), "digest")
+    # Written, so that both sides are dealt by digest for the last join alone and a large group is split at run time.
+    stands = materialize(groups.drop("keep_id").join(index.entries().hint("merge"), "digest"), "digest-stands")
     rows = docs.select(F.col("doc_id"), digest(F.col("text")).alias("digest"))
-    # Both sides are dealt by digest for this join alone, so that a large group can be split at run time.
     return rows.join(stands, "digest").select(
         "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
     )
