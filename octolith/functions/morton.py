@@ -108,7 +108,8 @@ def from_value(v, levels: int = LEVELS) -> Column:
 
 def from_octants(octants: Sequence, levels: int = LEVELS) -> Column:
     """The key of these octants, the rest zero."""
-    return reduce(lambda k, o: shl(k, 3).bitwiseOR(_col(o).cast("bigint")), octants, F.lit(0).cast("bigint")).bitwiseOR(F.lit(0)) if len(octants) == levels else shl(reduce(lambda k, o: shl(k, 3).bitwiseOR(_col(o).cast("bigint")), octants, F.lit(0).cast("bigint")), 3 * (levels - len(octants)))
+    key = reduce(lambda k, o: shl(k, 3).bitwiseOR(_col(o).cast("bigint")), octants, F.lit(0).cast("bigint"))
+    return shl(key, 3 * (levels - len(octants)))
 
 
 def octal(v: Column, digits) -> Column:
