@@ -170,19 +170,37 @@ class SparseGrid:
         return ok
 
 
-def poisson(xyz: list[tuple[float, float, float]], spacing: float, step: int = 1) -> list[bool]:
-    """Greedy scan: accept what is at least the spacing from all accepted; only every step-th is looked at."""
-    grid = SparseGrid(spacing)
-    return [i % step == 0 and grid.add(p) for i, p in enumerate(xyz)]
+def poisson(xyz: np.ndarray, spacing: float, step: int = 1) -> np.ndarray:
+    """Greedy scan: accept what is at least the spacing from all accepted; only every step-th is looked at.
+
+    The same decisions as SparseGrid.add, with cell numbers computed at once: most points fall to one of their own cell.
+    """
+    square = float(np.float32(spacing) * np.float32(spacing))
+    out = np.zeros(len(xyz), bool)
+    cell = np.floor(xyz / spacing).astype(np.int64)
+    cell -= cell.min(axis=0) - 1 if len(cell) else 0
+    _, ny, nz = (cell.max(axis=0) + 2).tolist() if len(cell) else (1, 1, 1)
+    codes = (cell[:, 0] * ny + cell[:, 1]) * nz + cell[:, 2]
+    near = sorted((((i * ny + j) * nz + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)), key=lambda o: (o != 0, o))
+    cells: dict[int, list[tuple[float, float, float]]] = {}
+    at = range(0, len(xyz), step)
+    for n, code, (x, y, z) in zip(at, codes[::step].tolist(), xyz[::step].tolist(), strict=True):
+        for o in near:
+            found = cells.get(code + o)
+            if found and any((x - a) * (x - a) + (y - b) * (y - b) + (z - c) * (z - c) < square for a, b, c in found):
+                break
+        else:
+            cells.setdefault(code, []).append((x, y, z))
+            out[n] = True
+    return out
 
 
-def z_order_next(xyz: list[tuple[float, float, float]], spacing: float) -> list[bool]:
+def z_order_next(xyz: np.ndarray, spacing: float, step: int = 1) -> np.ndarray:
     """Accept the first, then whatever is at least the spacing from the one accepted last."""
-    last, out, square = None, [], float(np.float32(spacing) * np.float32(spacing))
-    for p in xyz:
-        ok = last is None or sum((a - b) ** 2 for a, b in zip(p, last, strict=True)) >= square
-        last = p if ok else last
-        out.append(ok)
+    last, out, square = None, np.zeros(len(xyz), bool), float(np.float32(spacing) * np.float32(spacing))
+    for i in range(0, len(xyz), step):
+        if last is None or ((xyz[i] - last) ** 2).sum() >= square:
+            last, out[i] = xyz[i], True
     return out
 
 
@@ -206,8 +224,8 @@ class Greedy(Sampler):
 
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by([(k, "ascending") for k in keys])
-            xyz = list(zip(*(table.column(c).to_pylist() for c in "xyz"), strict=True))
-            return table.drop_columns(["__node"]).append_column("selected", pa.array(scan(xyz, spacing, step) if scan is poisson else scan(xyz, spacing)))
+            xyz = np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1)
+            return table.drop_columns(["__node"]).append_column("selected", pa.array(scan(xyz, spacing, step)))
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         return df.withColumn("__node", M.node_of(F.col("morton"), level + 1)).groupBy("__node").applyInArrow(run, f"{fields}, selected boolean")

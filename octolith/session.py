@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="octolith-"))
+        own = tempfile.mkdtemp(prefix="octolith-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir("file://" + own)
         current = sc.getCheckpointDir()
     return current.rstrip("/")
 

@@ -172,3 +172,11 @@ def test_plans_prune_and_stay_native(spark):
     assert "Python" not in text and "Arrow" not in text and "l_tax" not in text and text.count("Exchange") == 1
     assert math.isclose(cube.extent, max(cube.extents))
     assert M.LEVELS == 21
+
+
+def test_scan_equals_sparse_grid():
+    rng = np.random.default_rng(6)
+    for n, spacing, step in ((0, 1.0, 1), (500, 0.1, 1), (500, 0.3, 2), (200, 5.0, 1)):
+        xyz = rng.normal(0, 1, (n, 3))
+        grid = S.SparseGrid(spacing)
+        assert S.poisson(xyz, spacing, step).tolist() == [i % step == 0 and grid.add(tuple(p)) for i, p in enumerate(xyz.tolist())]
