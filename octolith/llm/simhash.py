@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     linked = distinct.join(roots, distinct.fp == roots.node)
     names = linked.groupBy("root").agg(F.min("least").alias("name"))
     named = roots.join(names, "root").select(F.col("node").alias("fp"), "name")
-    of = distinct.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
+    # Written, so that both sides are dealt by fp for the last join alone and a large group is split at run time.
+    of = materialize(distinct.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")), "component-names")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
