@@ -57,3 +57,15 @@ def test_run_and_repeated_rows(spark):
     kept = C.exact_duplicates(spark, materialize(twice, "t"), "")
     texts = docs.select("text").distinct().count()
     assert kept.count() == texts and kept.where("doc_id IS NULL").count() == 0
+
+
+def test_stages_on_nothing_and_on_odd_rows(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, digest string"
+    odd = [(None, None, None, None, None, None, None), (1, "", "", "", 0, True, "d"), (2, " \n", "x", "y", 2, False, None), (3, "word " * 100_000, "x", "y", 500_000, None, "e"), (3, "word " * 100_000, "x", "y", 500_000, None, "e")]
+    for rows in ([], odd):
+        docs = materialize(spark.createDataFrame(rows, schema), "t")
+        for name, stage in C.STAGES:
+            out = stage(spark, docs, SF)
+            assert out.count() >= 0
+            if name != "packing":
+                assert out.columns == docs.columns
