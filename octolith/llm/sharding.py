@@ -102,6 +102,7 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
 
     Ties beyond the order are broken by the place in the sorted file, which is written before it is numbered.
     """
+
     def count(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -132,7 +133,9 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     ends = ends.withColumn("cells", F.transform("cells", lambda c, i: F.struct(c["shard"].alias("shard"), upto(i).alias("end"))))
     ranked = numbered(nodes.join(groups, "group", "left_semi").drop("shard"), [F.col("group"), F.col("doc_id")])
     first = ranked.groupBy("group").agg(F.min("place").alias("first"))
-    ranked = ranked.join(first.join(ends, "group"), "group").withColumn("nth_of", F.col("place") - F.col("first"))
+    # Written, so that both sides are dealt by group for the next join alone and a large group is split at run time.
+    targets = materialize(first.join(ends, "group"), "targets")
+    ranked = ranked.join(targets, "group").withColumn("nth_of", F.col("place") - F.col("first"))
     placed = numbered(ranked.select("doc_id", "size", "text_crc32", "group", F.filter("cells", lambda c: F.col("nth_of") < c["end"])[0]["shard"].alias("shard")), [F.col("shard"), F.col("group"), F.col("doc_id")])
     begin, held = [0] * shards, [0] * shards
     for r in placed.groupBy("shard").agg(F.min("place").alias("p"), F.count(F.lit(1)).alias("n")).collect():
