@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from octolith.sources.files import clear_directory, delete, exists
 def tile_files(
     spark: SparkSession, sources: list[str], out: str, output_format: str = "3DTILES", sampling: str = "MIN_DISTANCE", tiling_strategy: str = "FAST", spacing: float = 0.0,
     diagonal_fraction: float = 0.0, max_points_per_node: int = 20_000, max_depth: int | None = None, rgb_from: str = "NONE", source_projection: str | None = None, ignore: str = "NONE",
+    transform: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """The tiler: LAS files to a dataset; returns the written nodes."""
+    """The tiler: LAS files to a dataset; returns the written nodes. transform is applied to all points as they are read."""
     started = time.time()
     flags = IgnoreErrors.parse("" if ignore == "NONE" else ignore)
     nodes.check_format(output_format)
@@ -39,6 +41,8 @@ def tile_files(
     points = reader.load()
     if "point_source_id" in columns:
         points = points.withColumn("point_source_id", F.pmod("file_id", F.lit(65536)).cast("int"))
+    if transform is not None:
+        points = points.transform(transform)
     points = srs.transform(points, source_projection)
     tight = G.bounds_of(points)
     if output_format == "3DTILES" and tight is not None:  # single precision about the centre loses least
@@ -79,6 +83,8 @@ def convert(
     if max_depth is not None:
         points = points.where(F.col("node_lvl") <= max_depth)
     points = srs.transform(points, source_projection)
+    if output_format == "3DTILES":  # positions are stored in single precision, about each node's least corner
+        points = G.recentre(points, ["node_name"])
     target = out.rstrip("/")
     if target != source.rstrip("/"):
         clear_directory(target)
@@ -93,3 +99,14 @@ def convert(
         gone = [nodes.path_of(source, fmt, r["node_name"]) for r in written.select("node_name").toLocalIterator()]
         delete([p for p in gone if exists(p)])
     return written
+
+
+def reproject_tiles(spark: SparkSession, source: str, out: str, projection: str, recentre: bool = True) -> DataFrame:
+    """.pnts files with their centres added, in geocentric coordinates, about each node's least corner."""
+    from octolith.session import materialize
+
+    described = nodes.read_descriptor(source)
+    points = srs.transform(nodes.read_nodes(spark, source, "3DTILES", {"RGB", "INTENSITY"}), projection)
+    if recentre:
+        points = G.recentre(points, ["node_name"])
+    return materialize(nodes.write_nodes(points, out, "3DTILES", described["bounds"]), "reprojected")

@@ -164,3 +164,10 @@ def transform_bounds(boxes: DataFrame, crs: str | None, keys: list[str], target:
     pick = [F.when(F.col("o").bitwiseAND(F.lit(4 >> k)) > 0, F.col(f"high_{a}")).otherwise(F.col(f"low_{a}")).alias(a) for k, a in enumerate("xyz")]
     corners = transform(boxes.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(*keys, *pick), crs, target)
     return corners.groupBy(*keys).agg(*[f(a).alias(f"{n}_{a}") for n, f in (("low", F.min), ("high", F.max)) for a in "xyz"])
+
+
+def bounding_region(boxes: DataFrame, crs: str | None, keys: list[str]) -> DataFrame:
+    """west, south, east, north in radians and least and greatest height of boxes."""
+    b = transform_bounds(boxes, crs, keys, "longlat")
+    edges = [F.radians(f"{n}_{a}").alias(e) for e, n, a in (("west", "low", "x"), ("south", "low", "y"), ("east", "high", "x"), ("north", "high", "y"))]
+    return b.select(*keys, *edges, F.col("low_z").alias("least_height"), F.col("high_z").alias("greatest_height"))

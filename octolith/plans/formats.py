@@ -332,3 +332,60 @@ def events_windows(spark, sf):
     counts = stream.withWatermark("ts", "40 days").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     counts.writeStream.format("memory").queryName("events_counts").outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.table("events_counts").where("event_type IS NOT NULL").select(C("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+# Journals, hooks and decisions
+
+
+@query("K15_journal_csv", f"WITH {NODES} SELECT node_idx, node_lvl, n FROM nodes")
+def k15(spark, sf):
+    from octolith.sources import journal
+
+    path = work_path(spark, "journal")
+    journal.write_records(V.nodes(spark, sf)[0], path)
+    return journal.read_records(spark, path, "node_idx bigint, node_lvl int, n bigint")
+
+
+@query("Q11_observed_counts", f"WITH {PTS} SELECT count(*) AS rows FROM pts")
+def q11(spark, sf):
+    from octolith.sources import journal
+
+    df, seen = journal.counted(V.lineitem_points(spark, sf))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"],)], "rows bigint")
+
+
+@query("S12_transform_hook", f"WITH {PTS} SELECT {ID_SQL}, x + 1 AS x FROM pts")
+def s12(spark, sf):
+    return V.lineitem_points(spark, sf).transform(lambda df: df.withColumn("x", C("x") + 1)).select(*IDS, "x")
+
+
+@query("G18_bounding_region", f"WITH {GEO} SELECT round(radians(min(lon)), 9) AS west, round(radians(min(lat)), 9) AS south, round(radians(max(lon)), 9) AS east, round(radians(max(lat)), 9) AS north, min(h) AS least_height, max(h) AS greatest_height FROM geo")
+def g18(spark, sf):
+    g = _geo(spark, sf)
+    box = g.agg(*[f(c).alias(f"{n}_{a}") for n, f in (("low", F.min), ("high", F.max)) for a, c in zip("xyz", ("lon", "lat", "h"), strict=True)]).withColumn("k", F.lit(1))
+    out = srs.bounding_region(box, "EPSG:4326", ["k"])
+    return out.select(*(F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")), "least_height", "greatest_height")
+
+
+@query("TA4_terminal_levels", "SELECT l::INT AS level, l >= 17 AS terminal FROM range(-1, 21) t(l)")
+def ta4(spark, sf):
+    """At about 17 cells an axis, keys are too short to sample from level 17 on."""
+    _, ctx = _context(spark, sf)
+    how = samplers.sampler("RANDOM_GRID")
+    return spark.createDataFrame([(level, not how.supports(level, ctx)) for level in range(-1, 21)], "level int, terminal boolean")
+
+
+@query("R7_reproject_tiles", f"WITH {GEO} SELECT count(*) AS n, round(avg(({NN} + h) * cos(radians(lat)) * cos(radians(lon))), -1) AS x FROM geo")
+def r7(spark, sf):
+    from octolith import convert
+
+    pts = _geo(spark, sf).select(C("lon").alias("x"), C("lat").alias("y"), C("h").alias("z"), F.lit(1).alias("intensity"))
+    source, out = work_path(spark, "tiles-in"), work_path(spark, "tiles-out")
+    box = G.bounds_of(pts).cubic()
+    one = pts.withColumns({"node_idx": F.lit(0).cast("bigint"), "node_lvl": F.lit(0), "node_name": F.lit("r")})
+    nodes.write_nodes(one, source, "3DTILES", box).count()
+    nodes.write_properties(source, box, 1.0, 0, 0, 0)
+    convert.reproject_tiles(spark, source, out, "EPSG:4326")
+    back = nodes.read_nodes(spark, out, "3DTILES", {"INTENSITY"})
+    return back.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), -1).alias("x"))

@@ -40,11 +40,11 @@ def entwine_name(name: str) -> str:
     return "-".join(map(str, (len(digits), *grid)))
 
 
-def encode_node(points: codecs.Points, fmt: str, bounds: G.Bounds, name: str) -> bytes:
+def encode_node(points: codecs.Points, fmt: str, bounds: G.Bounds, name: str, centre=(0.0, 0.0, 0.0)) -> bytes:
     if fmt in ("BIN", "BINZ"):
         return codecs.encode_bin(points, fmt == "BINZ")
     if fmt == "3DTILES":
-        return codecs.encode_pnts(points)
+        return codecs.encode_pnts(points, centre)
     box = bounds.node(name)
     return codecs.encode_las(points, box.low, box.high)
 
@@ -61,7 +61,8 @@ def to_numpy(table: pa.Table) -> codecs.Points:
 def write_nodes(tiled: DataFrame, out: str, fmt: str, bounds: G.Bounds, rgb_from: str = "NONE") -> DataFrame:
     """Write each node's points to its file; node_idx, node_lvl, node_name, n of what was written.
 
-    tiled: points with node_idx, node_lvl, node_name. A node's file holds its points in key order.
+    tiled: points with node_idx, node_lvl, node_name, and perhaps ox, oy, oz: the position that a node's points count
+    from. A node's file holds its points in key order.
     """
     check_format(fmt)
     if fmt == "3DTILES" and rgb_from != "NONE" and "intensity" in tiled.columns:
@@ -69,14 +70,16 @@ def write_nodes(tiled: DataFrame, out: str, fmt: str, bounds: G.Bounds, rgb_from
         tiled = tiled.withColumns({c: grey.cast("smallint") for c in "rgb"})
     keep = [c for c, _ in schema.columns_of(schema.attributes_of(tiled) & schema.FORMATS[fmt])]
     order = "morton" if "morton" in tiled.columns else "x"
+    origin = [c for c in ("ox", "oy", "oz") if c in tiled.columns]
 
     def write(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
         name = table.column("node_name")[0].as_py()
-        write_whole(path_of(out, fmt, name), encode_node(to_numpy(table.select(keep)), fmt, bounds, name))
+        centre = tuple(table.column(c)[0].as_py() for c in origin) or (0.0, 0.0, 0.0)
+        write_whole(path_of(out, fmt, name), encode_node(to_numpy(table.select(keep)), fmt, bounds, name, centre))
         return table.slice(0, 1).select(["node_idx", "node_lvl", "node_name"]).append_column("n", pa.array([table.num_rows], pa.int64()))
 
-    rows = tiled.select("node_idx", "node_lvl", "node_name", *dict.fromkeys([*keep, order]))
+    rows = tiled.select("node_idx", "node_lvl", "node_name", *dict.fromkeys([*keep, order, *origin]))
     return rows.groupBy("node_name").applyInArrow(write, WRITTEN)
 
 
@@ -96,7 +99,9 @@ def read_nodes(spark: SparkSession, folder: str, fmt: str, attributes=None, boun
                 if fmt in ("BIN", "BINZ"):
                     points = codecs.decode_bin(data, fmt == "BINZ")
                 elif fmt == "3DTILES":
-                    points, _ = codecs.decode_pnts(data)
+                    points, centre = codecs.decode_pnts(data)
+                    for c, o in zip("xyz", centre, strict=True):
+                        points[c] = points[c] + o
                 else:
                     head = codecs.las_header(data)
                     points = codecs.decode_las(data[head["point_offset"] :][: head["n_points"] * head["record_length"]], head, wanted)
