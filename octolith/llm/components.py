@@ -15,7 +15,8 @@ from octolith.session import materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v). Large: each node's greater neighbours move to the least of its neighbours and itself; small: the others."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # Written, so that the join deals both of its sides and a node with very many neighbours is split at run time.
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     side = both.where("v > u") if large else both.where("v < u")
     moved = side.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:

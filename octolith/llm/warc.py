@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octolith.llm.common import about, open_fs, open_output
-from octolith.session import work_path
+from octolith.session import materialize, work_path
 
 EPOCH = "2024-01-01T00:00:00Z"
 #: Captures to a run, runs to a merge, keys sampled for boundaries.
@@ -168,8 +168,8 @@ def with_roles(pages: DataFrame, least: int) -> DataFrame:
         F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), date.alias("date"),
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.unhex(F.sha1("payload")))
-    # One row per payload; the pages are dealt by digest for this join alone, so that a frequent payload can be split.
-    stands = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    # One row per payload, written, so that the join deals both of its sides and a frequent payload is split at run time.
+    stands = materialize(rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper")), "payloads")
     return rows.join(stands, "digest", "left").select(
         "page_id", "url", "date", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to")
     )
