@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from octolith.llm import exact_dedup, packing, quality, secrets, simhash
+from octolith.llm import exact_dedup, near_copies, packing, quality, secrets, simhash
 from octolith.session import materialize
 
 
@@ -24,10 +24,15 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One document of each SimHash component stays (op9's contract; not a stage of the pipeline)."""
     return simhash.keep_one(docs)
 
 
+def near_copy_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts with a Jaccard similarity of 0.8 or more on five-word shingles one document stays."""
+    return near_copies.keep_one(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; every document stays."""
     return secrets.redact(docs)
@@ -43,7 +48,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_duplicates),
-    ("near_dedup", near_duplicates),
+    ("near_dedup", near_copy_dedup),
     ("secrets", secret_scan),
     ("packing", pack_sequences),
 ]
