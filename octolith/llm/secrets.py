@@ -2,7 +2,8 @@
 
 Base spans come from three patterns (assign, access, hex). Besides, every run of 20 or more characters of the usual
 encodings that holds letters and digits is a candidate. Its encoding is inferred (the smallest alphabet that has all its
-characters), and three tests ask whether its symbols could be drawn at random from that alphabet: chi-squared uniformity
+characters); a run that no alphabet covers is split, at inner '=' and then both at '/', '+' and at '-', '_', and each part of
+20 or more characters is a candidate, so that candidates of one run can overlap. Three tests ask whether its symbols could be drawn at random from that alphabet: chi-squared uniformity
 over equal cells, Wald-Wolfowitz runs above and below the middle, and lag-1 serial correlation. Fisher's method combines
 them. Candidates are put in strata of length, since short ones give the tests little power, and in each stratum the
 Benjamini-Hochberg procedure over all candidates of the corpus rejects randomness at false-discovery rate RATE, so that
@@ -37,6 +38,8 @@ HEX_FAST = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Parts of a run between inner '=' (those at its end are padding), and parts of such a part that one alphabet covers.
+BETWEEN, PARTS = re.compile(r"[^=]+(?:=+\Z)?"), (re.compile(r"[^/+]+"), re.compile(r"[^_-]+"))
 #: Alphabets by size; a candidate's encoding is the first that has all its characters.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -136,10 +139,22 @@ def p_least(k: int) -> float:
     return 2.0 ** (-WIDEST * (1 - min(1.0, (k + 1) / (BINS - 1))))
 
 
+def covered(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run: all of it, or its parts where no alphabet covers it."""
+    if infer(run) is not None:
+        return [(0, len(run))]
+    out = set()
+    for m in BETWEEN.finditer(run):
+        if infer(m.group()) is not None:
+            out.add(m.span())
+        else:
+            out.update((m.start() + p.start(), m.start() + p.end()) for pattern in PARTS for p in pattern.finditer(m.group()))
+    return sorted(out)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     out = []
-    for m in CANDIDATE.finditer(text):
-        token, a, b = m.group(), m.start(), m.end()
+    for token, a, b in ((m.group()[s:e], m.start() + s, m.start() + e) for m in CANDIDATE.finditer(text) for s, e in covered(m.group())):
         if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)) or len(token.rstrip("=")) < 20:
             continue
         if any(s < b and a < e for s, _, e in base):
