@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from octolith.llm.components import components
 from octolith.llm.units import text_slices
@@ -66,6 +67,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """All rows with all columns and __fp."""
+
+    def run(batches):
+        for batch in batches:
+            for first, piece in text_slices(batch.column("text").cast(pa.string())):
+                fps = np.array([fingerprint(t, shingle) for t in piece.to_pylist()], np.uint64).view(np.int64)
+                own = batch.slice(first, len(piece))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(fps)], names=[*own.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+
+
 def gray_rank(fp: Column) -> Column:
     """The place of a fingerprint in Gray order, shifted so that signed order is the order."""
     for k in (1, 2, 4, 8, 16, 32):
@@ -228,9 +242,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows that stay: of each component the document that names it; rows without a doc_id can't be named and stay."""
-    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows that stay: of each component the document that names it; rows without a doc_id can't be named and stay.
+
+    Rows go by doc_id and fingerprint, so that of rows that share a doc_id only those in another's component go.
+    """
+    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp")).distinct()
+    rows = with_fingerprint(docs, shingle)
+    return rows.join(gone, (rows["doc_id"] == F.col("__gone")) & (rows["__fp"] == F.col("__gone_fp")), "left_anti").drop("__fp")
 
 
 def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
