@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LEVELS = 21
-#: Bits of a number spread by 3, after each halving of the distance (fixed values).
-SPREAD = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
+#: Bits of a number that one table lookup spreads by 3, and octants whose bits one lookup gathers.
+SPREAD_BITS, GATHER_OCTANTS = 7, 3
 
 
 def _col(c) -> Column:
@@ -30,20 +30,33 @@ def shr(v, n) -> Column:
     return F.shiftright(v, n) if isinstance(n, int) else F.call_function("shiftright", v, n.cast("int"))
 
 
+def _table(values: list[int]) -> Column:
+    """A literal array, parsed in one piece and folded when the query is planned."""
+    return F.expr(f"array({','.join(f'{v}L' for v in values)})")
+
+
+def _spread(n: int) -> int:
+    return sum((n >> i & 1) << 3 * i for i in range(n.bit_length()))
+
+
+def _gathered(n: int) -> int:
+    return sum((n >> 3 * i & 1) << i for i in range(GATHER_OCTANTS))
+
+
 def expand(v) -> Column:
-    """Bit i to bit 3i, for numbers of 21 bits (M1)."""
+    """Bit i to bit 3i, for numbers of 21 bits (M1). Lookups keep the expression linear in its argument."""
     v = _col(v).cast("bigint")
-    for k, mask in SPREAD:
-        v = v.bitwiseOR(shl(v.bitwiseAND(F.lit(mask >> k)), k)).bitwiseAND(F.lit(mask))
-    return v
+    table, mask = _table([_spread(n) for n in range(1 << SPREAD_BITS)]), F.lit((1 << SPREAD_BITS) - 1)
+    parts = [shl(F.get(table, shr(v, k).bitwiseAND(mask).cast("int")), 3 * k) for k in range(0, LEVELS, SPREAD_BITS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def contract(v) -> Column:
     """Bit 3i to bit i (M2)."""
-    v = _col(v).cast("bigint").bitwiseAND(F.lit(SPREAD[-1][1]))
-    for (k, _), mask in zip(reversed(SPREAD), [m for _, m in reversed(SPREAD[:-1])] + [0x1FFFFF], strict=True):
-        v = v.bitwiseOR(shr(v, k)).bitwiseAND(F.lit(mask))
-    return v
+    v, width = _col(v).cast("bigint"), 3 * GATHER_OCTANTS
+    table, mask = _table([_gathered(n) for n in range(1 << width)]), F.lit((1 << width) - 1)
+    parts = [shl(F.get(table, shr(v, 3 * k).bitwiseAND(mask).cast("int")), k) for k in range(0, LEVELS, GATHER_OCTANTS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def cell(p: Column, low: float, extent: float, levels: int = LEVELS) -> Column:

@@ -245,10 +245,11 @@ def o5(spark, sf):
     return P.partition_with_jumps(V.keyed(spark, sf)[0], M.truncate(C("morton"), 3), ["morton", *IDS]).select(*IDS, "selected")
 
 
-@query("O6_octant_partition", f"WITH {KEYED} SELECT ((morton >> 57) & 7)::INT AS octant, count(*) AS n, min(morton) AS first, max(morton) AS last FROM keyed WHERE morton >> 60 = 3 GROUP BY 1")
+@query("O6_octant_partition", f"WITH {KEYED} SELECT morton >> 60 AS node_idx, ((morton >> 57) & 7)::INT AS octant, count(*) AS n, min(morton) AS first, max(morton) AS last FROM keyed GROUP BY 1, 2")
 def o6(spark, sf):
-    pts = V.keyed(spark, sf)[0].where(M.node_of(C("morton"), 1) == 3)
-    return pts.groupBy(M.octant_at("morton", 1).alias("octant")).agg(F.count(F.lit(1)).alias("n"), F.min("morton").alias("first"), F.max("morton").alias("last"))
+    """The octants of every node of level 1."""
+    node = M.node_of(C("morton"), 1).alias("node_idx")
+    return V.keyed(spark, sf)[0].groupBy(node, M.octant_at("morton", 1).alias("octant")).agg(F.count(F.lit(1)).alias("n"), F.min("morton").alias("first"), F.max("morton").alias("last"))
 
 
 @query("O7_child_nodes", f"WITH {NODES} SELECT (node_idx << 3) | o AS node_idx, node_lvl + 1 AS node_lvl, 'r' || lpad(to_base((node_idx << 3) | o, 8), node_lvl + 1, '0') AS node_name, cx + {V.gather('((node_idx << 3) | o) >> 2')} * (e / pow(2::DOUBLE, node_lvl + 1)) AS low_x, e / pow(2::DOUBLE, node_lvl + 1) AS extent, 1.5::DOUBLE AS spacing FROM nodes, cube, range(8) t(o)")
@@ -370,13 +371,6 @@ def t5(spark, sf):
     return nodes.select("node_idx", "node_lvl", F.row_number().over(Window.orderBy("node_lvl", "node_idx")).cast("bigint").alias("nth"), F.row_number().over(Window.orderBy(M.name_simple("node_idx", "node_lvl"))).cast("bigint").alias("pre"))
 
 
-@query("T6_merge_trees", f"WITH {T_SQL}, a AS (SELECT * FROM nodes WHERE node_idx % 2 = 0), b AS (SELECT node_idx, node_lvl, n * 10 AS n FROM nodes WHERE node_idx % 3 = 0) SELECT coalesce(a.node_idx, b.node_idx) AS node_idx, coalesce(a.node_lvl, b.node_lvl) AS node_lvl, coalesce(a.n, 0) + coalesce(b.n, 0) AS n FROM a FULL JOIN b ON a.node_idx = b.node_idx AND a.node_lvl = b.node_lvl")
-def t6(spark, sf):
-    nodes = V.nodes(spark, sf)[0]
-    both = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
-    return tree.merge(nodes.where("node_idx % 2 = 0"), nodes.where("node_idx % 3 = 0").withColumn("n", C("n") * 10), {"n": both})
-
-
 @query("T7_tree_equality", f"WITH {T_SQL} SELECT node_idx, node_lvl, n, 'a' AS side FROM nodes WHERE n % 5 = 0")
 def t7(spark, sf):
     nodes = V.nodes(spark, sf)[0]
@@ -413,7 +407,15 @@ def _ladder(spark, sf):
     return V.nodes(spark, sf, (0, 1, 2, 3, 4))[0]
 
 
-LADDER = KEYED + ", t AS (SELECT " + " UNION ALL SELECT ".join(f"{'0' if k == 0 else f'morton >> {63 - 3 * k}'} AS node_idx, {k} AS node_lvl, count(*) AS n FROM keyed GROUP BY 1" for k in range(5)) + ")"
+LADDER = KEYED + ", t AS MATERIALIZED (SELECT " + " UNION ALL SELECT ".join(f"{'0' if k == 0 else f'morton >> {63 - 3 * k}'} AS node_idx, {k} AS node_lvl, count(*) AS n FROM keyed GROUP BY 1" for k in range(5)) + ")"
+
+
+@query("T6_merge_trees", f"WITH {LADDER}, a AS (SELECT * FROM t WHERE node_lvl < 3), b AS (SELECT node_idx, node_lvl, n * 10 AS n FROM t WHERE node_lvl > 1) SELECT coalesce(a.node_idx, b.node_idx) AS node_idx, coalesce(a.node_lvl, b.node_lvl) AS node_lvl, coalesce(a.n, 0) + coalesce(b.n, 0) AS n FROM a FULL JOIN b ON a.node_idx = b.node_idx AND a.node_lvl = b.node_lvl")
+def t6(spark, sf):
+    """Two trees that share level 2 and hold all nodes between them."""
+    t = _ladder(spark, sf)
+    both = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
+    return tree.merge(t.where("node_lvl < 3"), t.where("node_lvl > 1").withColumn("n", C("n") * 10), {"n": both})
 
 
 @query("T13_subtree_split", f"WITH {LADDER} {HIER}")
@@ -518,10 +520,10 @@ def j6(spark, sf):
     return P.distance_join(V.embedding_points(spark, sf), "vec_id", 0.04, 0.0016)
 
 
-@query("J7_point_in_node", f"WITH {NODES} SELECT node_idx, count(*) AS n FROM keyed JOIN nodes ON node_lvl = 3 AND morton >> 54 = node_idx WHERE node_idx % 2 = 0 GROUP BY 1")
+@query("J7_point_in_node", f"WITH {NODES} SELECT node_idx, count(*) AS n FROM keyed JOIN nodes ON node_lvl = 3 AND morton >> 54 = node_idx GROUP BY 1")
 def j7(spark, sf):
     pts = V.keyed(spark, sf)[0].withColumn("node_idx", M.node_of(C("morton"), 3))
-    wanted = V.nodes(spark, sf)[0].where("node_lvl = 3 AND node_idx % 2 = 0").select("node_idx")
+    wanted = V.nodes(spark, sf)[0].where("node_lvl = 3").select("node_idx")
     return pts.join(wanted, "node_idx").groupBy("node_idx").agg(F.count(F.lit(1)).alias("n"))
 
 

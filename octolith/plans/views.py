@@ -79,7 +79,7 @@ def keyed_sql(source: str = "pts") -> str:
     cell = lambda p: f"least(trunc((greatest({p}, c{p}) - c{p}) * (2097152.0::DOUBLE / e))::BIGINT, 2097151)"
     return f"""{cube_sql(source)},
 cells AS (SELECT {source}.*, {cell("x")} AS qx, {cell("y")} AS qy, {cell("z")} AS qz FROM {source}, cube),
-keyed AS (SELECT *, {spread("qz")} | ({spread("qy")} << 1) | ({spread("qx")} << 2) AS morton FROM cells)"""
+keyed AS MATERIALIZED (SELECT *, {spread("qz")} | ({spread("qy")} << 1) | ({spread("qx")} << 2) AS morton FROM cells)"""
 
 
 KEYED = f"{PTS},\n{keyed_sql()}"

@@ -25,23 +25,36 @@ def test_expand_and_contract(spark):
         assert r.e == sum((r.v >> i & 1) << 3 * i for i in range(21)) and r.c == r.v
 
 
+#: Corners of the unit cube's octants that fix the octant convention (fixed values).
+PROBES = [((0.25, 0.25, 0.25), 0), ((0.25, 0.25, 0.75), 1), ((0.25, 0.75, 0.25), 2), ((0.75, 0.25, 0.25), 4)]
+
+
 def test_octant_probes(spark):
     cube = G.Bounds((0.0,) * 3, (1.0,) * 3)
-    probes = [((0.25, 0.25, 0.25), 0), ((0.25, 0.25, 0.75), 1), ((0.25, 0.75, 0.25), 2), ((0.75, 0.25, 0.25), 4)]
-    df = spark.createDataFrame([(*p, o) for p, o in probes], "x double, y double, z double, o int")
+    df = spark.createDataFrame([(*p, o) for p, o in PROBES], "x double, y double, z double, o int")
     for r in df.select("o", M.encode("x", "y", "z", cube, 1).alias("k"), M.octant_of("x", "y", "z", cube.low, 1.0).alias("p")).collect():
         assert r.k == r.o == r.p
 
 
-def test_deep_path_and_naive(spark):
-    path = [5, 3, 7, 4, 0, 1, 6, 4, 3, 5, 3, 6, 7, 3, 2, 1, 4, 0, 2, 5]
-    cube = G.Bounds((0.0,) * 3, (2.0**20,) * 3)
-    at = [sum((o >> (2 - k) & 1) << (19 - i) for i, o in enumerate(path)) + 0.5 for k in range(3)]
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_random_paths_and_naive(spark, seed):
+    rng = random.Random(seed)
+    depth = rng.randrange(8, 21)
+    path = [rng.randrange(8) for _ in range(depth)]
+    cube = G.Bounds((0.0,) * 3, (2.0**depth,) * 3)
+    at = [sum((o >> (2 - k) & 1) << (depth - 1 - i) for i, o in enumerate(path)) + 0.5 for k in range(3)]
     df = spark.createDataFrame([tuple(at)], "x double, y double, z double")
-    r = df.select(M.encode("x", "y", "z", cube, 20).alias("k"), M.encode_naive("x", "y", "z", cube, 20).alias("n")).first()
+    r = df.select(M.encode("x", "y", "z", cube, depth).alias("k"), M.encode_naive("x", "y", "z", cube, depth).alias("n")).first()
     assert r.k == r.n == int("".join(map(str, path)), 8)
 
 
+def test_expressions_stay_linear(spark):
+    """A key of a key of a position is planned in a text that grows with the steps, not with their power."""
+    size = lambda c: len(spark.range(1).select(c.alias("v"))._jdf.queryExecution().optimizedPlan().toString())
+    once, twice = size(M.expand(F.col("id"))), size(M.expand(M.contract(M.expand(F.col("id")))))
+    assert twice < 40 * once
+
+
 def test_clamped_and_flat_bounds(spark):
     cube = G.Bounds((0.0,) * 3, (4.0,) * 3)
     df = spark.createDataFrame([(-5.0, 9.0, 4.0)], "x double, y double, z double")
@@ -49,11 +62,13 @@ def test_clamped_and_flat_bounds(spark):
     assert df.select(M.encode("x", "y", "z", G.Bounds((1.0,) * 3, (1.0,) * 3)).alias("k")).first().k == 0
 
 
-def test_fixed_depth_keys(spark):
-    made = M.from_octants([F.lit(o) for o in (7, 6, 0, 3)], 4)
-    want = 7 << 9 | 6 << 6 | 0 << 3 | 3
-    r = one(spark, k=made, o=M.octant_at(made, 1, 4), t=M.truncate(made, 1, 4), s=M.to_string(made, 4, 4), m=M.from_value(F.lit(255), 2), b=M.from_string(F.lit("r01234567"), 8), p=M.to_string(M.from_string(F.lit("01234567"), 8), 8, 8, "r"))
-    assert (r.k, r.o, r.t, r.s, r.m, r.p) == (want, 6, 7 << 3 | 6, "7603", 63, "r01234567") and r.b == int("01234567", 8)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fixed_depth_keys(spark, seed):
+    rng = random.Random(seed)
+    octants, digits = [rng.randrange(8) for _ in range(5)], "".join(str(rng.randrange(8)) for _ in range(8))
+    made, text = M.from_octants([F.lit(o) for o in octants], 5), "".join(map(str, octants))
+    r = one(spark, k=made, o=M.octant_at(made, 2, 5), t=M.truncate(made, 1, 5), s=M.to_string(made, 5, 5), m=M.from_value(F.lit(255), 2), b=M.from_string(F.lit("r" + digits), 8), p=M.to_string(M.from_string(F.lit(digits), 8), 8, 8, "r"))
+    assert (r.k, r.o, r.t, r.s, r.m, r.p) == (int(text, 8), octants[2], int(text[:2], 8), text, 63, "r" + digits) and r.b == int(digits, 8)
     assert one(spark, k=M.set_octant(F.lit(0), 2, F.lit(5), 4)).k == 5 << 3
 
 
