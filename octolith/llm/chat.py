@@ -10,29 +10,38 @@ The log is partitioned by conversation (long ones by blocks of PART_TURNS turns)
 final messages, which are rendered with a template that marks turns. Control strings inside texts and roles are escaped
 reversibly, so that the rendered string can be split and read back whatever users typed.
 
-A long conversation is never gathered in one task while it is folded and rendered: output rows are parts of at most
-PART_TURNS distinct turns, in order of `part`.
+A table of finished turns becomes a log first: a draft that is edited, or one that is regenerated and streamed again as
+deltas without a role, so that the same fold makes its messages.
+
+A long conversation is never gathered in one task while it is folded and rendered. Output rows are parts of a
+conversation, in order of `part`: (block of PART_TURNS turns, turn, bucket). Where a block's turns are repeated so often
+that it has more than CROWDED messages, each of its turns is dealt to buckets by a hash of role and text, and these are
+parts of their own; only equal messages of one turn stay together.
 
 Native: DataFrame functions only.
 
-Defined results: null text and null role are empty; a null conv_id is a conversation of its own; a null turn comes
-first (part -1); events of one turn with equal seq are taken in the order of kind, role and text; a log without rows
-gives no rows; other columns are ignored, whatever their names.
+Defined results: null text is empty; a message has the last role that is not null in its log, and the empty one if there
+is none; a null conv_id is a conversation of its own; a null turn comes first (block -1); events of one turn with equal seq
+are taken in the order of kind, role and text; messages that repeat a turn come in the order of role and text, in crowded
+blocks by bucket before; a kind that is none of these four, or null, is an error; a log without rows gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Turns to a part.
-PART_TURNS = 256
+from octolith.session import materialize
+
+#: Turns to a part, messages of a block from which on its turns are dealt to buckets, code points to a streamed delta.
+PART_TURNS, CROWDED, DELTA = 256, 1024, 256
 #: The template's marks; every one of them begins with "<|", which no escaped text contains.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: Beginnings of control strings, ours and those of common templates: "<|", "<s>", "</s>", "[INST]", "[/INST]".
 CONTROL = r"<(?=\||s>|/s>)|\[(?=/?INST\])"
 EVENT_KINDS = ("message", "edit", "regenerate", "delta")
+EVENT = "struct<seq:bigint,kind:string,role:string,text:string>"
 
 
 def escape(text: Column) -> Column:
@@ -45,31 +54,60 @@ def unescape(text: Column) -> Column:
 
 
 def events_from_turns(rows: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: one message event a row. Rows that repeat a turn stay separate messages."""
-    w = Window.partitionBy("conv_id", "part", "turn").orderBy("role", "text")
-    return with_part(rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")).select(
-        "conv_id", "part", "turn", F.row_number().over(w).alias("copy"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
-
-
-def with_part(rows: DataFrame) -> DataFrame:
-    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-1)).cast("long")
-    # One exchange serves the numbering of repeated turns, the fold and the rendering of a part.
-    return rows.withColumn("part", part).repartition("conv_id", "part")
+    """A table of finished turns (conv_id, turn, role, text) as a log, with message and salt.
+
+    Every row is a message of its own: `message` tells rows that repeat a turn apart, `salt` is the hash of role and text.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    event = lambda seq, kind, role, said: F.struct(F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), said.cast("string").alias("text"))
+    draft, none = F.concat(F.substring(text, 1, 24), F.lit(" ...")), F.lit(None)
+    edited = F.array(event(0, "message", F.col("role"), draft), event(1, "edit", none, text))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
+    deltas = F.transform(pieces, lambda x, i: F.struct((i + 2).cast("bigint").alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), x.alias("text")))
+    streamed = F.concat(F.array(event(0, "message", F.col("role"), draft), event(1, "regenerate", none, none)), deltas)
+    salt = F.xxhash64("role", text)
+    log = F.when(F.pmod(salt, F.lit(2)) == 0, edited).otherwise(streamed)
+    out = rows.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.monotonically_increasing_id().alias("message"), salt.alias("salt"), log.alias("log"))
+    return out.select("conv_id", "turn", "message", "salt", F.explode("log").alias("e")).select("conv_id", "turn", "message", "salt", "e.*")
+
+
+def crowded_turns(messages: DataFrame) -> DataFrame:
+    """conv, at, buckets for the turns of blocks with more than CROWDED messages. messages: conv_id, turn, a row each.
+
+    The table is written, so that its size is known where it is joined: it goes to all tasks if it is small.
+    """
+    turns = messages.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+    blocks = turns.groupBy("conv_id", block_of("turn").alias("block")).agg(F.sum("n").alias("all"), F.collect_list(F.struct(F.coalesce("turn", F.lit(-1)).alias("at"), "n")).alias("turns"))
+    out = blocks.where(F.col("all") > CROWDED).select(F.col("conv_id").alias("conv"), F.explode("turns").alias("t"))
+    return materialize(out.select("conv", "t.at", F.ceil(F.col("t.n") / PART_TURNS).cast("bigint").alias("buckets")), "crowded-turns")
+
+
+def block_of(turn: str) -> Column:
+    return F.coalesce(F.floor(F.col(turn) / PART_TURNS), F.lit(-1)).cast("bigint")
+
+
+def with_part(events: DataFrame, crowded: DataFrame) -> DataFrame:
+    """events with part, dealt by conversation and part: one exchange serves the fold and the rendering."""
+    own = events.join(crowded, events["conv_id"].eqNullSafe(crowded["conv"]) & (F.coalesce(events["turn"], F.lit(-1)) == crowded["at"]), "left")
+    dealt = F.col("buckets").isNotNull()
+    part = F.struct(
+        block_of("turn").alias("block"), F.when(dealt, F.coalesce("turn", F.lit(-1))).alias("turn"),
+        F.when(dealt, F.pmod("salt", "buckets")).otherwise(F.lit(0)).cast("bigint").alias("bucket"),
+    )
+    return own.withColumn("part", part).drop("conv", "at", "buckets").repartition("conv_id", "part")
 
 
 def fold_messages(events: DataFrame) -> DataFrame:
-    """Final messages: conv_id, part, turn, copy, role, text."""
-    resets = F.col("kind").isin("message", "edit", "regenerate")
-    order = F.struct(F.col("seq"), F.col("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    log = (
-        events.groupBy("conv_id", "part", "turn", "copy")
-        .agg(F.array_sort(F.collect_list(order)).alias("log"), F.max(F.when(resets, F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("reset"))
-    )
+    """Final messages (conv_id, part, turn, message, role, text) of a log with parts."""
+    known = F.when(F.col("kind").isin(*EVENT_KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null")))).cast("string"))
+    event = F.struct("seq", known.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    resets = F.col("kind") != "delta"
+    log = events.groupBy("conv_id", "part", "turn", "message").agg(F.array_sort(F.collect_list(event)).alias("log"), F.max(F.when(resets, event)).alias("reset"))
     live = F.filter("log", lambda e: F.col("reset").isNull() | (e >= F.col("reset")))
+    roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
     return log.select(
-        "conv_id", "part", "turn", "copy",
-        F.element_at(F.transform("log", lambda e: e["role"]), -1).alias("role"),
+        "conv_id", "part", "turn", "message",
+        F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"),
         F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"),
     )
 
@@ -81,7 +119,7 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     one = messages.select(
         "conv_id", "part",
         F.struct(
-            "turn", "copy", F.concat(head, text, F.lit(END)).alias("body"),
+            "turn", F.col("role").alias("by"), F.col("text").alias("said"), F.concat(head, text, F.lit(END)).alias("body"),
             F.char_length(head).alias("from"), F.char_length(text).alias("length"), (F.col("role") == loss_role).alias("loss"),
         ).alias("m"),
     )
@@ -98,15 +136,24 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
 
 
-def format_events(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """From a log (conv_id, turn, seq, kind, role, text) to rendered parts."""
-    log = with_part(events.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), "kind", "role", "text"))
-    return render(fold_messages(log.withColumn("copy", F.lit(1))), loss_role)
+def format_events(events: DataFrame, loss_role: str = "assistant", messages: DataFrame | None = None) -> DataFrame:
+    """From a log (conv_id, turn, seq, kind, role, text) to rendered parts.
+
+    A log whose turns hold several messages has columns message and salt too, and messages: conv_id and turn of each.
+    """
+    several = messages is not None
+    log = events.select(
+        "conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("seq").cast("bigint").alias("seq"), "kind", "role", "text",
+        *(F.col(c) if several else F.lit(0).cast("bigint").alias(c) for c in ("message", "salt")),
+    )
+    if not several:  # a block has one message a turn at most
+        messages = log.select("conv_id", "turn").limit(0)
+    return render(fold_messages(with_part(log, crowded_turns(messages))), loss_role)
 
 
 def format_turns(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """From finished turns (conv_id, turn, role, text) to rendered parts, through the same fold."""
-    return render(fold_messages(events_from_turns(rows)), loss_role)
+    """From finished turns (conv_id, turn, role, text) to rendered parts, by way of a log."""
+    return format_events(events_from_turns(rows), loss_role, rows.select("conv_id", F.col("turn").cast("bigint").alias("turn")))
 
 
 def read_back(parts: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from octolith.llm import chat
 
 SF = "/root/testdata/sf0.01"
@@ -38,12 +40,57 @@ def test_events_fold(spark):
     ]
     df = spark.createDataFrame(log, "conv_id bigint, turn bigint, seq bigint, kind string, role string, text string").repartition(3)
     out = sorted(chat.format_events(df).collect(), key=lambda r: (str(r.conv_id), r.part))
-    assert [(r.conv_id, r.part, parse(r.formatted)) for r in out] == [
+    assert [(r.conv_id, r.part.block, parse(r.formatted)) for r in out] == [
         (1, 0, [("user", "Hi"), ("assistant", "good")]), (1, 1, [("assistant", "late")]), (2, -1, [("user", "")]), (None, 0, [("assistant", "x")]),
     ]
     assert chat.format_events(df.limit(0)).count() == 0
 
 
+LOG = "conv_id bigint, turn bigint, seq bigint, kind string, role string, text string"
+
+
+def test_roles_outlive_events_without_one(spark):
+    log = [
+        (1, 0, 1, "message", "assistant", "Hel"), (1, 0, 2, "delta", None, "lo"), (1, 1, 1, "delta", "user", "x"), (1, 1, 2, "regenerate", None, None), (1, 1, 3, "delta", None, "y"),
+        (1, 2, 1, "message", "user", "a"), (1, 2, 2, "edit", "assistant", "b"), (1, 2, 3, "delta", None, "c"), (1, 3, 1, "delta", None, None),
+    ]
+    r = chat.format_events(spark.createDataFrame(log, LOG).repartition(4)).first()
+    assert parse(r.formatted) == [("assistant", "Hello"), ("user", "y"), ("assistant", "bc"), ("", "")]
+    assert [r.formatted[s.start : s.end] for s in r.loss_spans] == ["Hello", "bc"]
+
+
+@pytest.mark.parametrize("kind", ["insert", None])
+def test_unknown_kinds_are_errors(spark, kind):
+    df = spark.createDataFrame([(1, 0, 1, "message", "user", "a"), (1, 0, 2, kind, "user", "b")], LOG)
+    with pytest.raises(Exception, match="unknown kind"):
+        chat.format_events(df).collect()
+
+
+def test_logs_hold_every_kind(spark):
+    texts = ["", "a", "x" * 600, "é😀" * 300, None]
+    rows = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts * 4)], "conv_id bigint, turn bigint, role string, text string")
+    log = chat.events_from_turns(rows)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == set(chat.EVENT_KINDS) and log.where("role IS NULL").count() > 20
+    parts = chat.format_turns(rows).collect()
+    assert [t for r in parts for _, t in parse(r.formatted)] == [t or "" for t in texts * 4]
+
+
+def test_turns_without_numbers_are_dealt_out(spark):
+    n = 100_000
+    rows = spark.range(n).selectExpr("7L AS conv_id", "CAST(NULL AS BIGINT) AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    parts = chat.format_turns(rows).select("part", "n_turns", "formatted").collect()
+    assert sum(r.n_turns for r in parts) == n and max(r.n_turns for r in parts) < 4 * chat.PART_TURNS and len({r.part for r in parts}) == len(parts)
+    assert {t for r in parts for _, t in parse(r.formatted)} == {f"t{i}" for i in range(n)}
+
+
+def test_crowded_turn_among_others(spark):
+    rows = [(1, 5, "user", f"m{i}") for i in range(2000)] + [(1, t, "assistant", f"t{t}") for t in (0, 4, 6, 9, 400)] + [(None, 5, "user", "other")]
+    parts = sorted((r for r in chat.format_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect() if r.conv_id), key=lambda r: (r.part.block, r.part.turn if r.part.turn is not None else -9, r.part.bucket))
+    said = [t for r in parts for _, t in parse(r.formatted)]
+    assert [t for t in said if t[0] == "t"] == ["t0", "t4", "t6", "t9", "t400"] and said[:2] == ["t0", "t4"] and said[-3:] == ["t6", "t9", "t400"] and len(said) == 2005
+
+
 def test_long_conversation_and_repeated_turns(spark):
     rows = [(5, i, "assistant" if i % 2 else "user", f"t{i} <|") for i in range(2000)] + [(5, 7, "user", "again"), (5, 7, "user", "again")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
