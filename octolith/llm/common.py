@@ -21,6 +21,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, or the first of name_1, name_2, ... that no column has."""
+    lower, k, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in lower:
+        k, out = k + 1, f"{name}_{k + 1}"
+    return out
+
+
 def about(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """About four times so many rows, those with the smallest hashes of the keys; all rows if there are fewer.
 

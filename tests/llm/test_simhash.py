@@ -62,29 +62,52 @@ def ball(rng, centre, n, reach):
     return out
 
 
-@pytest.mark.parametrize("reach", [2, 6, 30])
-def test_index_equals_all_pairs(reach):
-    rng = np.random.default_rng(reach)
-    f = np.array(sorted(ball(rng, 0x0123456789ABCDEF, 700, reach), key=lambda x: np.bitwise_xor.accumulate([int(b) for b in f"{x:064b}"]).tolist()), np.uint64)
-    want = brute_components([int(x) for x in f])
-    labels = simhash.GrayIndex(f).join()
+def gray(values):
+    """The values in Gray order."""
+    return np.array(sorted(values, key=lambda x: np.bitwise_xor.accumulate([int(b) for b in f"{x:064b}"]).tolist()), np.uint64)
+
+
+def same_groups(values, labels, want):
     groups = {}
-    for x, k in zip(f, labels, strict=True):
-        groups.setdefault(int(k), set()).add(want[int(x)])
+    for x, k in zip(values, labels, strict=True):
+        groups.setdefault(k, set()).add(want[int(x)])
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
 
-def test_chunks_lose_no_link(spark):
+@pytest.mark.parametrize("reach", [2, 6, 30])
+def test_index_equals_all_pairs(reach):
+    f = gray(ball(np.random.default_rng(reach), 0x0123456789ABCDEF, 700, reach))
+    same_groups(f, simhash.GrayIndex(f).join().tolist(), brute_components([int(x) for x in f]))
+
+
+def test_index_prunes_groups_of_real_fingerprints(spark):
+    """The query's own fingerprints: whole groups are cut, few members are compared, all components are found."""
+    f = gray({int(r.fp) % 2**64 for r in simhash.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).select("fp").distinct().collect()})
+    index = simhash.GrayIndex(f)
+    labels = index.join().tolist()
+    assert len(index.levels) >= 4 and index.pruned > len(f) and 2 * index.compared < len(f) * (len(f) - 1) / 2
+    same_groups(f, labels, brute_components([int(x) for x in f]))
+
+
+def test_trees_of_many_segments_stay_apart():
+    rng = np.random.default_rng(4)
+    parts = [gray({int(x) for x in rng.integers(0, 2**63, n, np.uint64)} | ball(rng, int(rng.integers(2**62)), n, 3)) for n in (1, 3, 60, 9, 200)]
+    seg = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    labels = simhash.GrayIndex(np.concatenate(parts), seg).join()
+    for k, p in enumerate(parts):
+        own = labels[seg == k]
+        assert (seg[own] == k).all()
+        same_groups(p, own.tolist(), brute_components([int(x) for x in p]))
+
+
+@pytest.mark.parametrize(("segment", "crowded"), [(4096, 65536), (60, 65536), (64, 40), (8, 3)])
+def test_dealing_loses_no_link(spark, segment, crowded):
     rng = np.random.default_rng(1)
-    fps = sorted(ball(rng, 5, 300, 5) | ball(rng, 2**64 - 9, 300, 9) | {0})
+    fps = sorted(ball(rng, 5, 300, 5) | ball(rng, 2**64 - 9, 300, 9) | {0} | {int(x) for x in rng.integers(0, 2**63, 300, np.uint64)})
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp bigint")
     want = brute_components(fps)
-    for size in (10_000, 60):
-        root = {r.node % 2**64: r.root for r in components.components(simhash.links(df, size)).collect()}
-        groups = {}
-        for x in fps:
-            groups.setdefault(root.get(x, ("alone", x)), set()).add(want[x])
-        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+    root = {r.node % 2**64: r.root for r in components.components(simhash.links(df, segment, crowded)).collect()}
+    same_groups(fps, [root.get(x, ("alone", x)) for x in fps], want)
 
 
 def test_edges(spark):

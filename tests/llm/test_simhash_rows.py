@@ -7,3 +7,10 @@ def test_rows_go_by_doc_id_and_fingerprint(spark):
     kept = simhash.keep_one(docs)
     assert kept.schema == docs.schema
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(*r,) for r in (rows[0], rows[2], rows[3])], key=str)
+
+
+def test_columns_of_any_name(spark):
+    names = ["own_fp", "gone_doc", "gone_fp", "__gone", "__fp", "GONE_FP_1"]
+    docs = spark.createDataFrame([(k, t, *names) for k, t in ((1, "a b c"), (2, "A b  c"), (3, "other words here"))], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
