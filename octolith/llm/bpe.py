@@ -7,7 +7,8 @@ Encode: each word meets in its bucket all chunks that have it and is encoded onc
 Join back: documents and encoded words of a chunk meet by chunk, and ids go to the words' positions by number.
 Decode: ids are joined to the table of pieces, whose key is dense, so that the join is a gather.
 
-A word crosses the network once per chunk, however often it occurs; a chunk is bounded whatever the input's size. A lost
+A word crosses the network once per chunk, however often it occurs; a chunk is bounded in distinct words and in bytes,
+whatever the input's size, but for a single text that is longer. A lost
 task numbers its chunks again in the same way, since chunks are named by partition and order.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; rows that share a doc_id and null doc_ids
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 
 from octolith.llm.common import release_memory
 from octolith.llm.token_files import binary_rows
-from octolith.llm.units import byte_letters, load_tokenizer, spread, text_slices, tokenizer_spec, units_of
+from octolith.llm.units import byte_letters, load_tokenizer, plain_pattern, spread, text_slices, tokenizer_spec, units_of
 
-#: Distinct words at which a chunk is closed; words remembered while buckets come one after the other.
-CHUNK_WORDS, KNOWN = 120_000, 150_000
+#: Distinct words, or bytes of text, at which a chunk is closed.
+CHUNK_WORDS, CHUNK_BYTES = 120_000, 64 << 20
 
 
 def planes(codes: np.ndarray) -> bytes:
@@ -80,7 +81,7 @@ def split(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        chunk, words = TaskContext.get().partitionId() << 24, {}
+        chunk, words, size = TaskContext.get().partitionId() << 24, {}, 0
 
         def close():
             keys = list(words)
@@ -102,9 +103,10 @@ def split(docs: DataFrame, buckets: int) -> DataFrame:
                 codes = table[found.indices.to_numpy()] if len(found) else table
                 ids = batch.column("doc_id").slice(first, len(piece))
                 yield rows_of([chunk], chunk, [pack(ids.fill_null(0).to_numpy().tobytes(), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), planes(np.diff(count)), planes(codes))])
-                if len(words) > CHUNK_WORDS:
+                size += piece.nbytes
+                if len(words) > CHUNK_WORDS or size > CHUNK_BYTES:
                     yield from close()
-                    words = {}
+                    words, size = {}, 0
                     chunk += 1
         yield from close()
         words = found = table = codes = None
@@ -115,15 +117,19 @@ def split(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def encode_words(words: DataFrame, spec: str) -> DataFrame:
-    """chunk, body (numbers, counts of ids, ids) for packed rows of words; rows of a bucket come one after the other."""
+    """chunk, body (numbers, counts of ids, ids) for packed rows of words.
+
+    Rows of a bucket come one after the other, and a word is in one bucket alone: what has been encoded is remembered to
+    the end of the bucket, so that each distinct word is encoded once.
+    """
 
     def run(batches):
-        tok, known = load_tokenizer(spec), {}
+        tok, known, bucket = load_tokenizer(spec), {}, None
         for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
+            for key, chunk, blob in zip(batch.column("key").to_pylist(), batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
                 words, numbers = unpack_words(blob.as_py())
-                if len(known) > KNOWN:
-                    known = {}
+                if key != bucket:
+                    known, bucket = {}, key
                 new = [w for w in words if w not in known]
                 for a in range(0, len(new), 20_000):
                     part = new[a : a + 20_000]
@@ -163,14 +169,19 @@ def join_back(docs: DataFrame, words: DataFrame) -> DataFrame:
     return docs.groupBy("key").cogroup(words.groupBy("chunk")).applyInArrow(run, "doc_id bigint, ids binary")
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) of every whole text."""
-    # Words spread over more buckets as the input grows, and a chunk has a row for each bucket at most.
-    buckets = min(8192, max(64, 4 * docs.rdd.getNumPartitions()))
-    rows = split(docs, buckets).repartition("key")
+def encode(docs: DataFrame, tokenizer: str, buckets: int | None = None) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit) of every whole text.
+
+    Words are dealt to buckets, of which there should be more as the input grows (by default two for each shuffle
+    partition); a chunk has a row for each at most. Only tokenizers that can be cut at white space are taken.
+    """
+    spec = tokenizer_spec(tokenizer)
+    if plain_pattern(spec)[0] is None:
+        raise ValueError("this tokenizer's pieces may cross white space, so that its words can't be encoded one by one")
+    rows = split(docs, buckets or max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).repartition("key")
     # spark_partition_id() keeps the filters above the exchange, which both sides then read.
     of_docs, of_words = rows.where(F.expr("key >= 0 OR spark_partition_id() < 0")), rows.where(F.expr("key < 0 OR spark_partition_id() < 0"))
-    return join_back(of_docs, encode_words(of_words, tokenizer_spec(tokenizer)))
+    return join_back(of_docs, encode_words(of_words, spec))
 
 
 def piece_table(spec: str) -> pa.Array:

@@ -1,6 +1,9 @@
-"""Near copies by their sets of words: texts whose Jaccard similarity is LEAST or more, on shingles of SHINGLE words.
+"""SimHash near-dedup at a given similarity: texts whose Jaccard similarity is LEAST or more, on shingles of SHINGLE words.
 
-Candidates: MinHash signatures of BANDS * ROWS values, cut into bands. Two texts of similarity s share a band with
+Candidates come from two searches over all texts. The Gray-order index of simhash.py links texts whose fingerprints differ
+in 3 bits at most. At a similarity of 0.8, however, fingerprints of 64 bits differ in about 10 bits, beyond what any
+index can search at scale, and most near copies would stay. MinHash signatures of BANDS * ROWS values, cut into bands,
+find the others. Two texts of similarity s share a band with
 probability 1 - (1 - s**ROWS)**BANDS, which is 0.999995 at 0.8 and more above. The connected groups of texts that share
 bands are blocks; each candidate's text is dealt to its block once, and there overlaps are counted exactly (by 64-bit
 hashes of the shingles). A block of more than CHUNK texts is split; each two of its chunks meet in a task of their own.
@@ -18,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from octolith.llm import simhash
+from octolith.llm.common import free_name
 from octolith.llm.components import components
 from octolith.llm.simhash import unite
 from octolith.llm.units import text_slices
@@ -59,33 +64,48 @@ def bands(h: np.ndarray, flip: np.ndarray, times: np.ndarray) -> list[int]:
     return [xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(BANDS, ROWS))]
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a set of hashes: a bit is set if more than half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), simhash.BLOCK):
+        ones += np.unpackbits(h[a : a + simhash.BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
 def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the text's key), keys (one for each band)."""
+    """doc_id, node (the text's key), fp (the SimHash of its set of shingles), keys (one for each band)."""
 
     def run(batches):
         flip, times = permutations()
         for batch in batches:
             for first, piece in text_slices(batch.column("text")):
-                keys = np.array([bands(shingles(t), flip, times) for t in piece.to_pylist()], np.uint64).view(np.int64)
+                sets = [shingles(t) for t in piece.to_pylist()]
+                fps = np.array([fingerprint(h) for h in sets], np.uint64).view(np.int64)
+                keys = np.array([bands(h, flip, times) for h in sets], np.uint64).view(np.int64)
                 at = pa.array(np.arange(len(piece) + 1) * BANDS, pa.int32())
                 own = [batch.column(c).slice(first, len(piece)) for c in ("doc_id", "node")]
-                yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=["doc_id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(fps), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=["doc_id", "node", "fp", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("node"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, node bigint, fp bigint, keys array<bigint>")
 
 
 def blocks(signed: DataFrame) -> DataFrame:
-    """node, root: the texts that share a band with another text, and the least text that such steps reach."""
+    """node, root: the texts that share a band or a SimHash component with another text, and the least text that such steps reach."""
+    marked = signed.select("node", "fp").distinct()
+    roots = materialize(components(materialize(simhash.links(materialize(signed.select("fp").distinct(), "set-fingerprints")), "fingerprint-links")), "fingerprint-roots")
+    alike = materialize(marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("key")), "alike")
+    least = materialize(alike.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m"), "least-alike")
+    linked = alike.join(least, "key").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
     rows = signed.select("node", F.explode("keys").alias("key"))
     # Written, so that the join deals both of its sides and a key of very many texts is split at run time.
     shared = materialize(rows.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m"), "shared-bands")
-    stars = rows.join(shared, "key").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")).distinct()
-    return components(materialize(stars, "stars"))
+    stars = rows.join(shared, "key").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    return components(materialize(stars.union(linked).distinct(), "stars"))
 
 
 def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
@@ -149,6 +169,7 @@ def links(docs: DataFrame, block: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows that stay: of each component of near copies one document."""
+    doc, node = (free_name(docs.columns, n) for n in ("gone_doc", "gone_node"))
     signed = materialize(signatures(docs), "signatures")
     block = blocks(signed)
     roots = materialize(components(materialize(links(docs, block), "near-links")), "near-components")
@@ -156,6 +177,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Structs order by doc_id, null last, then by text key.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     first = materialize(placed.groupBy("root").agg(F.min(rank).alias("first")), "near-first")
-    gone = placed.join(first, "root").where(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node")).distinct()
+    gone = placed.join(first, "root").where(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(doc), F.col("node").alias(node)).distinct()
     gone = materialize(gone, "near-gone")
-    return docs.join(gone, (text_key() == F.col("__node")) & docs["doc_id"].cast("bigint").eqNullSafe(F.col("__doc")), "left_anti")
+    return docs.join(gone, (text_key() == F.col(node)) & docs["doc_id"].cast("bigint").eqNullSafe(F.col(doc)), "left_anti")

@@ -4,6 +4,9 @@ A document's ids, with an end id, are cut into pieces of power-of-two lengths: b
 one piece for each set bit of what remains. Every piece is a sequence of its own, so that no sequence crosses documents
 and none is padded; training draws batches from buckets of equal length.
 
+write_buckets() puts pieces into a folder for each length, and read_buckets() reads one length or all of them: a training
+job opens the lengths that it wants and finds nothing else there.
+
 Sequence ids order by bucket: 4 bits of the length's exponent, 26 bits of the partition, 32 bits of the number in it.
 They need no second pass and no shuffle, and a repeated task gives the same ones.
 
@@ -18,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from octolith.llm.units import encoder, spread, tokenizer_spec
+from octolith.session import work_path
 
 SEQUENCE = 1024
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -81,9 +86,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = SEQUEN
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def write_buckets(pieces: DataFrame, folder: str) -> None:
+    """Pieces by length: a folder of Parquet files for each power of two."""
+    pieces.write.partitionBy("length").parquet(folder)
+
+
+def read_buckets(spark: SparkSession, folder: str, length: int | None = None) -> DataFrame:
+    """Pieces of one length, whose files alone are read, or of all."""
+    fields = T._parse_datatype_string(SCHEMA)
+    pieces = spark.read.schema(fields).parquet(folder).select(*fields.names)
+    return pieces if length is None else pieces.where(F.col("length") == length)
+
+
 def op7_pack_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, cut at powers of two up to 1024."""
+    """All documents, cut at powers of two up to 1024, dealt to buckets of equal length and read back from them."""
     import public_tokenizers
 
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    folder = work_path(spark, "packed")
+    write_buckets(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")), folder)
+    pieces = read_buckets(spark, folder)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from octolith.llm.common import open_fs, open_output, write_file
 from octolith.llm.units import encoder, tokenizer_spec
-from octolith.session import materialize, work_path
+from octolith.session import materialize, qualified, work_path
 
 MAGIC, HEAD = b"OIDS", struct.Struct("<4sIQQ")
 #: Ids to a block, about; a document lies in one block.
@@ -132,7 +132,7 @@ def frequency_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
 
 def write_corpus(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> list[dict]:
     """Write all documents; returns the manifest."""
-    kind = id_type(tokenizer)
+    kind, folder = id_type(tokenizer), qualified(docs.sparkSession, folder)
     tokens = materialize(tokenize(docs, tokenizer, end_id), "token-ids")
     ids_by_rank = frequency_ranks(tokens, kind)
     rank = np.zeros(int(ids_by_rank.max(initial=0)) + 1, np.uint32)
@@ -185,6 +185,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit) from the files."""
+    folder = qualified(spark, folder)
     fs, path = open_fs(f"{folder}/manifest")
     with fs.open_input_stream(path) as f:
         manifest = [json.loads(x) for x in f.read().decode().splitlines()]

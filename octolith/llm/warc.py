@@ -24,6 +24,7 @@ import gzip
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octolith.llm.common import about, open_fs, open_output
-from octolith.session import materialize, work_path
+from octolith.session import materialize, qualified, work_path
 
 EPOCH = "2024-01-01T00:00:00Z"
 #: Captures to a run, runs to a merge, keys sampled for boundaries.
@@ -53,15 +54,20 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (slash + path).lower()
 
 
-def record(page_id, url: str, date: str, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
-    """One record; a revisit holds no payload but its length and digest."""
+def record_id(page_id, file: str, offset: int) -> str:
+    """Unique for each record, whatever the page_id: by its place in the archives."""
+    return f"<urn:page:{page_id}:{file}:{offset}>"
+
+
+def record(place: tuple[str, int], page_id, url: str, date: str, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
+    """One record at a place (archive, offset); a revisit holds no payload but its length and digest."""
     url = url.replace("\r", "%0D").replace("\n", "%0A")
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, *place)}", f"X-Page-ID: {page_id}", f"WARC-Target-URI: {url}", f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
     body = b"" if revisit else payload
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -189,11 +195,14 @@ def write_archives(pages: DataFrame, folder: str, boundaries: list[list], least:
     def run(batches):
         from pyspark import TaskContext
 
-        part, held, names = TaskContext.get().partitionId(), [], []
-        archive, at = f"archive-{part:06d}.warc.gz", 0
+        # Attempts of one task may run side by side, and rows may reach them in another order: each writes files of its own,
+        # and only the files of the attempt that succeeds are named to the driver.
+        held, names = [], []
+        part = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
+        archive, at = f"archive-{part}.warc.gz", 0
 
         def spill():
-            name = f"runs-0/run-{part:06d}-{len(names):06d}"
+            name = f"runs-0/run-{part}-{len(names):06d}"
             write_run(f"{folder}/{name}", sorted(((sort_key(r), r) for r in held), key=lambda x: x[0]), boundaries)
             names.append(name)
             held.clear()
@@ -202,7 +211,7 @@ def write_archives(pages: DataFrame, folder: str, boundaries: list[list], least:
             for batch in batches:
                 for page, url, date, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     digest = base32_sha1(payload)
-                    body = gzip.compress(record(page, url, date, payload, digest, refers, refers is not None), level, mtime=0)
+                    body = gzip.compress(record((archive, at), page, url, date, payload, digest, refers, refers is not None), level, mtime=0)
                     late().write(body)
                     held.append({"urlkey": url_key(url), "timestamp": date, "page_id": page, "record_type": "response" if refers is None else "revisit", "digest": digest, "file": archive, "offset": at, "size": len(body)})
                     at += len(body)
@@ -226,8 +235,9 @@ def merge_runs(spark: SparkSession, folder: str, runs: list[str], boundaries: li
         def merge(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    write_run(f"{folder}/{row['name']}", LoserTree([read_run(f"{folder}/{x}") for x in row["runs"]]), boundaries)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["name"]])], names=["name"])
+                    name = f"{row['name']}-{uuid.uuid4().hex[:12]}"
+                    write_run(f"{folder}/{name}", LoserTree([read_run(f"{folder}/{x}") for x in row["runs"]]), boundaries)
+                    yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
         runs = sorted(r["name"] for r in spark.createDataFrame(groups, "name string, runs array<string>").repartition(len(groups)).mapInArrow(merge, "name string").collect())
 
@@ -254,7 +264,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     A response's length and digest are computed from what was read, and must agree with its header.
     """
-    number = lambda urn: None if urn == "<urn:page:None>" else int(urn[len("<urn:page:") : -1])
+    number = lambda x: None if x == "None" else int(x)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def run(batches):
@@ -274,7 +284,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 if not revisit and (base32_sha1(x["payload"]) != bare or len(x["payload"]) != int(x["x-payload-length"])):
                     raise ValueError(f"{name} is damaged at {offset}")
                 held.append({
-                    "page_id": number(x["warc-record-id"]), "url": x["warc-target-uri"], "record_type": x["warc-type"], "refers_to": number(x["warc-refers-to"]) if revisit else None,
+                    "page_id": number(x["x-page-id"]), "url": x["warc-target-uri"], "record_type": x["warc-type"], "refers_to": number(x["x-refers-to-page-id"]) if revisit else None,
                     "payload_bytes": int(x["x-payload-length"]), "payload_digest": bare, "payload": None if revisit else x["payload"],
                 })
                 size += len(x["payload"])
@@ -287,12 +297,15 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(held, schema)
 
     columns = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
-    return index.select("file", "offset", "size").mapInArrow(run, columns)
+    # Whole archives to a task, read from front to back.
+    places = index.select("file", "offset", "size").repartition("file").sortWithinPartitions("file", "offset")
+    return places.mapInArrow(run, columns)
 
 
 def write_and_index(pages: DataFrame, folder: str, parts: int | None = None, least: int = 0) -> DataFrame:
     """Archive pages (page_id, url, html and perhaps captured_at) under folder; returns the merged index."""
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     boundaries = boundaries_of(pages, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     return merge_runs(spark, folder, write_archives(pages, folder, boundaries, least), boundaries)
 

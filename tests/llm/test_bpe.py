@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +31,26 @@ def test_edges(spark, tok, monkeypatch, chunk):
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).count() == 0
 
 
+def test_each_word_is_in_one_bucket(spark, monkeypatch):
+    """What is remembered within a bucket is all that a word needs to be encoded once."""
+    monkeypatch.setattr(bpe, "CHUNK_WORDS", 50)
+    docs = spark.createDataFrame([(i, f"w{i % 7} same words x{i}" * 5) for i in range(300)], "doc_id bigint, text string").repartition(4)
+    bucket_of, chunks = {}, set()
+    for r in bpe.split(docs, 16).collect():
+        chunks.add(r.chunk)
+        for w in bpe.unpack_words(bytes(r.body))[0] if r.key < 0 else ():
+            assert bucket_of.setdefault(w, r.key) == r.key
+    assert len(chunks) >= 4 and len(bucket_of) > 300 and any(len(bpe.unpack_words(bytes(r.body))[0]) < 50 for r in bpe.split(docs, 16).where("key < 0").collect())
+
+
+def test_tokenizers_that_cross_white_space_are_refused(spark, tmp_path):
+    spec = json.loads(units.tokenizer_spec(PATH))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="white space"):
+        bpe.encode(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), str(tmp_path / "t.json"))
+
+
 def test_query_against_library(spark, tok):
     got = {r.doc_id: r for r in bpe.op3_bpe_words(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

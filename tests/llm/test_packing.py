@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 
 from octolith.llm import packing, units
+from octolith.session import work_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "a", "don't  stop\n\nit's 12 3é", "x <|endoftext|> y", "中文 b 😀\u0085 z", "word " * 5000, "same", "same"]
@@ -29,15 +30,32 @@ def test_pieces_hold_each_id_once(spark):
 
 
 def test_query_and_empty(spark):
+    """Every document of the table, and every piece of each."""
     tok = units.load_tokenizer(units.tokenizer_spec(PATH))
     sf = "/root/testdata/sf0.001"
-    got = {(r.doc_id, r.start): r for r in packing.op7_pack_pow2(spark, sf).collect()}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect():
+    got = {}
+    for r in packing.op7_pack_pow2(spark, sf).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert got.keys() == {r.doc_id for r in docs}
+    for r in docs:
         ids = np.array(brute(r.text, tok), "<u4")
-        own = sorted((k, x) for k, x in got.items() if k[0] == r.doc_id)
-        assert sum(x.length for _, x in own) == len(ids)
-        assert all(zlib.crc32(ids[x.start : x.start + x.length].tobytes()) == x.ids_crc32 for _, x in own)
+        own = sorted(got[r.doc_id], key=lambda x: x.start)
+        assert [x.start for x in own] == [0, *np.cumsum([x.length for x in own]).tolist()[:-1]] and sum(x.length for x in own) == len(ids)
+        assert all(zlib.crc32(ids[x.start : x.start + x.length].tobytes()) == x.ids_crc32 and x.doc_tokens == len(ids) for x in own)
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert packing.pack(none, PATH).count() == 0
     with pytest.raises(ValueError):
         packing.pack(none, PATH, longest=1000)
+
+
+def test_buckets_hold_one_length_each(spark):
+    folder = work_path(spark, "buckets")
+    pieces = packing.pack(spark.createDataFrame([(1, "word " * 3000), (2, "a b c"), (3, None)], "doc_id bigint, text string"), PATH)
+    packing.write_buckets(pieces, folder)
+    assert sorted(packing.read_buckets(spark, folder).collect()) == sorted(pieces.collect())
+    ones = packing.read_buckets(spark, folder, 1)
+    assert {r.length for r in ones.collect()} == {1} and "PartitionFilters: [isnotnull(length" in ones._jdf.queryExecution().executedPlan().toString()
+    empty = work_path(spark, "buckets")
+    packing.write_buckets(pieces.limit(0), empty)
+    assert packing.read_buckets(spark, empty).count() == 0

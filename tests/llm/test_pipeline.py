@@ -6,7 +6,7 @@ from octolith.llm import units
 from octolith.session import materialize
 from tests.llm.test_quality import brute as brute_quality
 from tests.llm.test_secrets import brute as brute_secrets
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,11 +29,8 @@ def test_stages_against_brute_force(spark):
 
     rows = {r.doc_id: r.text for r in docs.collect()}
     docs = materialize(C.near_duplicates(spark, docs, SF), "t")
-    fps = {k: brute_fp(t) for k, t in rows.items()}
-    of, least = brute_components(list(fps.values())), {}
-    for k in sorted(rows):
-        least.setdefault(of[fps[k]], k)
-    assert docs.columns == columns and sorted(r.doc_id for r in docs.collect()) == sorted(least.values())
+    kept = {r.doc_id for r in docs.collect()}
+    assert docs.columns == columns and sorted(kept) == brute_kept(list(rows.items()))
 
     rows = {r.doc_id: r.text for r in docs.collect()}
     docs = materialize(C.secret_scan(spark, docs, SF), "t")

@@ -52,6 +52,21 @@ def test_archives_are_plain_gzip_members(spark):
         assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")
 
 
+def test_records_have_unique_ids_and_attempts_own_files(spark):
+    pages = spark.createDataFrame([(*r,) for r in ROWS], "page_id bigint, url string, html string").coalesce(1)
+    folder, ids = work_path(spark, "w"), []
+    W.write_archives(pages, folder, [])
+    W.write_archives(pages, folder, [])  # as a second attempt of the same tasks
+    fs, path = open_fs(folder)
+    from pyarrow.fs import FileSelector
+
+    archives = [f.path for f in fs.get_file_info(FileSelector(path)) if f.path.endswith(".warc.gz")]
+    for a in archives:
+        with fs.open_input_stream(a, compression=None) as f:
+            ids += [x for x in gzip.decompress(f.read()).split(b"\r\n") if x.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == 2 * len(ROWS) and len(archives) >= 2
+
+
 def test_threshold_and_empty(spark):
     pages = spark.createDataFrame([(1, "a", "xy"), (2, "a", "xy"), (3, "b", "long"), (4, "b", "long")], "page_id bigint, url string, html string")
     folder = work_path(spark, "w")
