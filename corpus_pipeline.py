@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from octolith.llm import exact_dedup, near_copies, packing, quality, secrets, simhash
+from octolith.llm import exact_dedup, near_copies, packing, quality, secrets
 from octolith.session import materialize
 
 
@@ -20,16 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    return exact_dedup.keep_first_rows(docs, exact_dedup.DigestIndex(spark))
+    return exact_dedup.keep_first_rows(docs, exact_dedup.DigestIndex(spark), "documents")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays (op9's contract; not a stage of the pipeline)."""
-    return simhash.keep_one(docs)
-
-
-def near_copy_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts with a Jaccard similarity of 0.8 or more on five-word shingles one document stays."""
+    """SimHash near-dedup: of texts with a Jaccard similarity of 0.8 or more on five-word shingles one document stays."""
     return near_copies.keep_one(docs)
 
 
@@ -48,7 +43,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_duplicates),
-    ("near_dedup", near_copy_dedup),
+    ("near_dedup", near_duplicates),
     ("secrets", secret_scan),
     ("packing", pack_sequences),
 ]
