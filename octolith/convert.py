@@ -47,7 +47,7 @@ def tile_files(
     tight = G.bounds_of(points)
     if output_format == "3DTILES" and tight is not None:  # single precision about the centre loses least
         points = points.withColumns(dict(zip("xyz", G.to_centre_f32(tight.cubic()), strict=True)))
-    tie = ["file_id", *(c for c in columns if c not in ("x", "y", "z"))]
+    tie = ["file_id", *columns]  # points that agree in all of these are interchangeable
     tiled, ctx = tiling.tile(points, tie, sampling, tiling_strategy, spacing, diagonal_fraction, max_points_per_node, max_depth)
     return nodes.write_dataset(tiled, out, output_format, ctx.bounds, ctx.spacing, rgb_from, tight, started)
 

@@ -5,8 +5,8 @@ the context; output: the same rows with a boolean `selected`. Every order ends w
 can't make results differ between runs.
 
 Grid, centre and jittered sampling are ranks within cells, which are much smaller than nodes: no task ever has to hold a
-node. The distance samplers are greedy scans in Morton order and take a node per task (see tiling.py for how start levels
-bound nodes).
+node. The distance samplers are greedy scans in Morton order; a task reads a node as a sorted stream and holds only the
+points that it accepts.
 """
 
 from __future__ import annotations
@@ -170,38 +170,66 @@ class SparseGrid:
         return ok
 
 
-def poisson(xyz: np.ndarray, spacing: float, step: int = 1) -> np.ndarray:
-    """Greedy scan: accept what is at least the spacing from all accepted; only every step-th is looked at.
+class PoissonScan:
+    """Greedy scan: accept what is at least the spacing from all accepted; only every step-th point is looked at.
 
     The same decisions as SparseGrid.add, with cell numbers computed at once: most points fall to one of their own cell.
+    Points come in order, in pieces of any size; only accepted ones are held.
     """
-    square = float(np.float32(spacing) * np.float32(spacing))
-    out = np.zeros(len(xyz), bool)
-    cell = np.floor(xyz / spacing).astype(np.int64)
-    cell -= cell.min(axis=0) - 1 if len(cell) else 0
-    _, ny, nz = (cell.max(axis=0) + 2).tolist() if len(cell) else (1, 1, 1)
-    codes = (cell[:, 0] * ny + cell[:, 1]) * nz + cell[:, 2]
-    near = sorted((((i * ny + j) * nz + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)), key=lambda o: (o != 0, o))
-    cells: dict[int, list[tuple[float, float, float]]] = {}
-    at = range(0, len(xyz), step)
-    for n, code, (x, y, z) in zip(at, codes[::step].tolist(), xyz[::step].tolist(), strict=True):
-        for o in near:
-            found = cells.get(code + o)
-            if found and any((x - a) * (x - a) + (y - b) * (y - b) + (z - c) * (z - c) < square for a, b, c in found):
-                break
-        else:
-            cells.setdefault(code, []).append((x, y, z))
-            out[n] = True
-    return out
+
+    STRIDE = 1 << 21
+
+    def __init__(self, spacing: float, step: int = 1):
+        self.spacing, self.step, self.seen, self.origin = spacing, step, 0, None
+        self.square = float(np.float32(spacing) * np.float32(spacing))
+        self.cells: dict[int, list[tuple[float, float, float]]] = {}
+        self.near = sorted((((i * self.STRIDE + j) * self.STRIDE + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)), key=lambda o: (o != 0, o))
+
+    def take(self, xyz: np.ndarray) -> np.ndarray:
+        """Which of the next points are accepted."""
+        out, cells, square = np.zeros(len(xyz), bool), self.cells, self.square
+        if not len(xyz):
+            return out
+        # Cells count from the first point's; where far ones share a number, distances tell them apart.
+        cell = np.floor(xyz / self.spacing)
+        self.origin = cell[0] if self.origin is None else self.origin
+        cell = (cell - self.origin).astype(np.int64)
+        codes = (cell[:, 0] * self.STRIDE + cell[:, 1]) * self.STRIDE + cell[:, 2]
+        first = -self.seen % self.step
+        self.seen += len(xyz)
+        for n, code, (x, y, z) in zip(range(first, len(xyz), self.step), codes[first :: self.step].tolist(), xyz[first :: self.step].tolist(), strict=True):
+            for o in self.near:
+                found = cells.get(code + o)
+                if found and any((x - a) * (x - a) + (y - b) * (y - b) + (z - c) * (z - c) < square for a, b, c in found):
+                    break
+            else:
+                cells.setdefault(code, []).append((x, y, z))
+                out[n] = True
+        return out
+
+
+class NextScan:
+    """Accept the first point, then whatever is at least the spacing from the one accepted last."""
+
+    def __init__(self, spacing: float, step: int = 1):
+        self.square, self.step, self.seen, self.last = float(np.float32(spacing) * np.float32(spacing)), step, 0, None
+
+    def take(self, xyz: np.ndarray) -> np.ndarray:
+        out, first = np.zeros(len(xyz), bool), -self.seen % self.step
+        self.seen += len(xyz)
+        for i in range(first, len(xyz), self.step):
+            if self.last is None or ((xyz[i] - self.last) ** 2).sum() >= self.square:
+                self.last, out[i] = xyz[i], True
+        return out
+
+
+def poisson(xyz: np.ndarray, spacing: float, step: int = 1) -> np.ndarray:
+    """The picks of a whole node."""
+    return PoissonScan(spacing, step).take(xyz)
 
 
 def z_order_next(xyz: np.ndarray, spacing: float, step: int = 1) -> np.ndarray:
-    """Accept the first, then whatever is at least the spacing from the one accepted last."""
-    last, out, square = None, np.zeros(len(xyz), bool), float(np.float32(spacing) * np.float32(spacing))
-    for i in range(0, len(xyz), step):
-        if last is None or ((xyz[i] - last) ** 2).sum() >= square:
-            last, out[i] = xyz[i], True
-    return out
+    return NextScan(spacing, step).take(xyz)
 
 
 def _density_step(level: int) -> int:
@@ -210,34 +238,50 @@ def _density_step(level: int) -> int:
 
 @dataclass(frozen=True)
 class Greedy(Sampler):
-    """A scan of each node's points in Morton order."""
+    """A scan of each node's points in Morton order.
+
+    A decision needs all earlier ones nearby, and Morton order makes such chains as long as a node has cells along its
+    axes, so that rounds of joins would be hundreds. Nodes are scanned as streams instead: Spark sorts them (and spills),
+    a task reads them batch by batch and holds nothing but accepted points, whose number the spacing bounds.
+    """
 
     name: str = "MIN_DISTANCE"
-    scan: Callable = poisson
+    scan: Callable = PoissonScan
     step: Callable[[int], int] = field(default=lambda level: 1)
     one_when_coarse: bool = False
 
     def mark(self, df, level, ctx):
         if self.one_when_coarse and G.candidate_level(ctx.bounds.extent, G.spacing_at(ctx.spacing, level)) == -1:
             return _first(df, [M.node_of(F.col("morton"), level + 1)], ctx.order())
-        spacing, step, scan, keys = G.spacing_at(ctx.spacing, level), self.step(level), self.scan, ["morton", *ctx.tie]
-
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by([(k, "ascending") for k in keys])
-            xyz = np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1)
-            return table.drop_columns(["__node"]).append_column("selected", pa.array(scan(xyz, spacing, step)))
+        spacing, step, scan, shift = G.spacing_at(ctx.spacing, level), self.step(level), self.scan, 3 * (M.LEVELS - 1 - level)
+
+        def run(batches):
+            now, state = None, None
+            for batch in batches:
+                xyz = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in "xyz"], axis=1)
+                node = batch.column(batch.schema.get_field_index("morton")).to_numpy() >> min(shift, 63)
+                edges = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+                picks = []
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if a < b:
+                        if now is None or node[a] != now:
+                            now, state = node[a], scan(spacing, step)
+                        picks.append(state.take(xyz[a:b]))
+                if picks:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(picks))], names=[*batch.schema.names, "selected"])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.withColumn("__node", M.node_of(F.col("morton"), level + 1)).groupBy("__node").applyInArrow(run, f"{fields}, selected boolean")
+        ordered = df.repartition(M.node_of(F.col("morton"), level + 1)).sortWithinPartitions(*ctx.order())
+        return ordered.mapInArrow(run, f"{fields}, selected boolean")
 
 
 SAMPLERS: dict[str, Sampler] = {
     "RANDOM_GRID": GridFirst(),
     "GRID_CENTER": GridCentre(),
     "MIN_DISTANCE": Greedy(),
-    "MIN_DISTANCE_FAST": Greedy("MIN_DISTANCE_FAST", poisson, _density_step, True),
+    "MIN_DISTANCE_FAST": Greedy("MIN_DISTANCE_FAST", PoissonScan, _density_step, True),
     "JITTERED": Jittered(),
-    "Z_ORDER_NEXT": Greedy("Z_ORDER_NEXT", z_order_next),
+    "Z_ORDER_NEXT": Greedy("Z_ORDER_NEXT", NextScan),
 }
 
 

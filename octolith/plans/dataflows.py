@@ -190,23 +190,45 @@ def ta6(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("points"), F.countDistinct(*IDS).alias("distinct_points"))
 
 
-def _distance_query(name: str, sampling: str, violations: bool):
-    """Greedy samplers: points kept once, none too close in a node, none left out that would fit (at one level)."""
+PICK_SPACING = 0.0625  # exact in single precision, as is its square
 
-    @query(name, "SELECT 0::BIGINT AS violations, 0::BIGINT AS addable" if violations else None)
+
+def greedy_sql(step: int, last_only: bool) -> str:
+    """Picks in key order over the embedding points: a recursive CTE that carries the accepted points."""
+    held = "acc[len(acc):]" if last_only else "acc"
+    near = f"len(list_filter({held}, lambda q: (o.x - q.x) * (o.x - q.x) + (o.y - q.y) * (o.y - q.y) + (o.z - q.z) * (o.z - q.z) < {PICK_SPACING**2!r}::DOUBLE)) > 0"
+    return f"""WITH RECURSIVE {V.EMB}, {V.keyed_sql('emb')},
+o AS (SELECT vec_id, x, y, z, row_number() OVER (ORDER BY morton, vec_id) - 1 AS n FROM keyed),
+g AS (SELECT -1::BIGINT AS n, NULL::BIGINT AS vec_id, false AS selected, []::STRUCT(x DOUBLE, y DOUBLE, z DOUBLE)[] AS acc
+  UNION ALL SELECT o.n, o.vec_id, o.n % {step} = 0 AND NOT ({near}),
+    CASE WHEN o.n % {step} = 0 AND NOT ({near}) THEN list_append(acc, {{'x': o.x, 'y': o.y, 'z': o.z}}) ELSE acc END
+  FROM g JOIN o ON o.n = g.n + 1)
+SELECT vec_id, selected FROM g WHERE n >= 0"""
+
+
+def _picks(name: str, sampling: str, step: int, last_only: bool):
+    @query(name, greedy_sql(step, last_only))
     def run(spark, sf):
-        pts = V.lineitem_points(spark, sf)
+        """Which points a greedy sampler picks for the root, one by one."""
+        pts = V.embedding_points(spark, sf)
         cube = G.bounds_of(pts).cubic()
-        ctx = samplers.Context(cube, G.spacing_from_diagonal(cube, 12.0), CAPACITY, tuple(IDS))
-        marked = tiling.materialize(samplers.sampler(sampling).mark(samplers.with_keys(pts, cube), -1, ctx), "greedy")
-        if not violations:
-            return marked.groupBy("selected").agg(F.count(F.lit(1)).alias("n"))
-        return P.spacing_violations(marked, ctx.spacing, IDS)
+        ctx = samplers.Context(cube, PICK_SPACING, CAPACITY, ("vec_id",))
+        return samplers.sampler(sampling).mark(samplers.with_keys(pts, cube), -1, ctx).select("vec_id", "selected")
 
 
-_distance_query("A3_min_distance", "MIN_DISTANCE", True)
-_distance_query("A4_min_distance_fast", "MIN_DISTANCE_FAST", False)
-_distance_query("A6_z_order_next", "Z_ORDER_NEXT", False)
+_picks("A3_min_distance", "MIN_DISTANCE", 1, False)
+_picks("A4_min_distance_fast", "MIN_DISTANCE_FAST", 4, False)
+_picks("A6_z_order_next", "Z_ORDER_NEXT", 1, True)
+
+
+@query("A3_min_distance_spacing", "SELECT 0::BIGINT AS violations, 0::BIGINT AS addable")
+def a3_spacing(spark, sf):
+    """No two picks too close, no point left out that would fit, over the line items."""
+    pts = V.lineitem_points(spark, sf)
+    cube = G.bounds_of(pts).cubic()
+    ctx = samplers.Context(cube, G.spacing_from_diagonal(cube, 12.0), CAPACITY, tuple(IDS))
+    marked = tiling.materialize(samplers.sampler("MIN_DISTANCE").mark(samplers.with_keys(pts, cube), -1, ctx), "greedy")
+    return P.spacing_violations(marked, ctx.spacing, IDS)
 
 
 @query("TA7_A3_accurate_min_distance", f"WITH {PTS} SELECT count(*) AS points, count(DISTINCT ({ID_SQL})) AS distinct_points FROM pts")

@@ -137,10 +137,10 @@ def ept_schema(attributes) -> list[dict]:
     return out
 
 
-def write_ept(out: str, bounds: G.Bounds, tight: G.Bounds, spacing: float, points: int, attributes, srs: str = "") -> None:
-    """With the true count, and the span as cells along an axis (K9)."""
+def write_ept(out: str, bounds: G.Bounds, tight: G.Bounds, spacing: float, points: int, attributes, srs: str = "", data_type: str = "las") -> None:
+    """With the true count, the type of the files that are there, and the span as cells along an axis (K9)."""
     body = {
-        "bounds": [*bounds.low, *bounds.high], "boundsConforming": [*tight.low, *tight.high], "dataType": "laszip", "hierarchyType": "json", "points": points,
+        "bounds": [*bounds.low, *bounds.high], "boundsConforming": [*tight.low, *tight.high], "dataType": data_type, "hierarchyType": "json", "points": points,
         "schema": ept_schema(attributes), "span": round(bounds.extent / spacing), "srs": {"wkt": srs} if srs else {}, "version": "1.0.0",
     }
     write_whole(f"{out}/ept.json", json.dumps(body).encode())

@@ -4,10 +4,15 @@ The state is the points that each node holds, a Parquet folder per level and bat
 from the start level: at each level the nodes it touches are read back, joined to what arrives, sampled anew, and replaced;
 points that lose their place go on to the children. Nodes that held points before keep to the spacing even if they are
 small. Start level, bounds and spacing are fixed by the first batch; levels above the start level are rebuilt by finish().
+
+What each batch has left, and the tiler's parameters, are written as a manifest after its last level. A tiler on the same
+path, in another process perhaps, goes on from the last manifest; a batch that failed half-way has none and is done again.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,7 @@ from octolith.functions import morton as M
 from octolith.operators import tiling
 from octolith.operators.samplers import Context, sampler, with_keys
 from octolith.session import materialize, work_path
+from octolith.sources.files import exists, expand, read_whole, write_whole
 
 
 class IncrementalTiler:
@@ -22,7 +28,29 @@ class IncrementalTiler:
         self.spark, self.ctx, self.how, self.start, self.max_level = spark, ctx, sampler(sampling), start, max_level
         self.path = path or work_path(spark, "incremental")
         self.levels: dict[int, DataFrame] = {}
+        self.folders: dict[int, str] = {}
         self.done: set[int] = set()
+        box = self.ctx.bounds
+        self.facts = {"low": list(box.low), "high": list(box.high), "spacing": ctx.spacing, "max_points": ctx.max_points, "tie": list(ctx.tie), "sampling": self.how.name, "start": start, "max_level": max_level}
+        self.resume()
+
+    def resume(self) -> None:
+        """Take up the state of the last manifest, if there is one; other parameters than its own are an error."""
+        folder = f"{self.path}/manifests"
+        found = expand([folder]) if exists(folder) else []
+        found = sorted((f for f in found if f.endswith(".json")), key=lambda f: int(f.rsplit("-", 1)[1][:-5]))
+        if not found:
+            return
+        state = json.loads(read_whole(found[-1]))
+        if state["facts"] != self.facts:
+            raise ValueError(f"the tiler in {self.path} was begun with other parameters: {state['facts']}")
+        self.done, self.folders = set(state["done"]), {int(k): v for k, v in state["folders"].items()}
+        self.levels = {k: self.spark.read.parquet(v) for k, v in self.folders.items()}
+
+    def record(self) -> None:
+        """The manifest of the batches done so far."""
+        state = {"facts": self.facts, "done": sorted(self.done), "folders": self.folders}
+        write_whole(f"{self.path}/manifests/after-{len(self.done):08d}.json", json.dumps(state).encode())
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """foreachBatch function; a batch that was processed already is passed over."""
@@ -48,9 +76,11 @@ class IncrementalTiler:
             target = f"{self.path}/level={level}/batch={batch_id}"
             (kept if aside is None else kept.unionByName(aside.select(*columns))).write.mode("overwrite").parquet(target)
             fresh[level] = self.spark.read.schema(kept.schema).parquet(target)
+            self.folders[level] = target
             rest = marked.where("NOT selected").select(*columns)
         self.levels |= fresh
         self.done.add(batch_id)
+        self.record()
 
     def stored(self) -> DataFrame:
         """Points with node_idx and node_lvl as they are now."""
