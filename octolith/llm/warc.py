@@ -297,8 +297,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(held, schema)
 
     columns = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
-    # Whole archives to a task, read from front to back.
-    places = index.select("file", "offset", "size").repartition("file").sortWithinPartitions("file", "offset")
+    # Whole archives to a task, read from front to back. The index is small beside what it names, so that the number of
+    # tasks is fixed here rather than by the index's bytes.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = index.select("file", "offset", "size").repartition(tasks, "file").sortWithinPartitions("file", "offset")
     return places.mapInArrow(run, columns)
 
 
