@@ -96,11 +96,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def blocks(signed: DataFrame) -> DataFrame:
     """node, root: the texts that share a band or a SimHash component with another text, and the least text that such steps reach."""
-    marked = signed.select("node", "fp").distinct()
-    roots = materialize(components(materialize(simhash.links(materialize(signed.select("fp").distinct(), "set-fingerprints")), "fingerprint-links")), "fingerprint-roots")
-    alike = materialize(marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("key")), "alike")
-    least = materialize(alike.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m"), "least-alike")
-    linked = alike.join(least, "key").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    # Texts of one fingerprint are linked to the least of them, and the Gray index's links go from least to least.
+    least = materialize(signed.groupBy("fp").agg(F.min("node").alias("m")), "least-by-fingerprint")
+    within = signed.select("node", "fp").join(least, "fp").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    near = materialize(simhash.links(least.select("fp")), "fingerprint-links")
+    end = lambda c, name: least.select(F.col("fp").alias(c), F.col("m").alias(name))
+    linked = within.union(near.join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
     rows = signed.select("node", F.explode("keys").alias("key"))
     # Written, so that the join deals both of its sides and a key of very many texts is split at run time.
     shared = materialize(rows.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m"), "shared-bands")
