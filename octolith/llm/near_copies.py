@@ -5,9 +5,11 @@ in 3 bits at most. At a similarity of 0.8, however, fingerprints of 64 bits diff
 index can search at scale, and most near copies would stay. MinHash signatures of BANDS * ROWS values, cut into bands,
 find the others. Two texts of similarity s share a band with
 probability 1 - (1 - s**ROWS)**BANDS, which is 0.999995 at 0.8 and more above. The connected groups of texts that share
-bands are blocks; each candidate's text is dealt to its block once, and there overlaps are counted exactly (by 64-bit
-hashes of the shingles). A block of more than CHUNK texts is split; each two of its chunks meet in a task of their own.
-Links of LEAST or more make the components; no pair is left out because of a block's size.
+bands or fingerprint links are blocks; each candidate's text is dealt to its block once, and there overlaps are counted
+exactly (by 64-bit hashes of the shingles). A block of more than CHUNK texts is split into chunks, each with the block's
+guests, so that large groups of copies become one component in work that grows with their texts. Then only texts of
+different components still meet, by chunks of the block or of those that share a key. Links of LEAST or more make the components; no
+candidate is left out because of a block's size.
 
 Defined results: a null text is empty; texts without words are alike; a text of fewer than SHINGLE words is one shingle;
 upper case counts as lower case in ASCII; of each component the rows with the least doc_id (null last) and, among its
@@ -32,6 +34,8 @@ LEAST, SHINGLE, SEED = 0.8, 5, 42
 BANDS, ROWS = 40, 6
 #: Texts of a block that one task takes, and shingles that are permuted at once.
 CHUNK, STEP = 1000, 2048
+#: Texts of a crowded block that meet all of its chunks.
+GUESTS = 8
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -94,19 +98,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, node bigint, fp bigint, keys array<bigint>")
 
 
-def blocks(signed: DataFrame) -> DataFrame:
-    """node, root: the texts that share a band or a SimHash component with another text, and the least text that such steps reach."""
-    # Texts of one fingerprint are linked to the least of them, and the Gray index's links go from least to least.
-    least = materialize(signed.groupBy("fp").agg(F.min("node").alias("m")), "least-by-fingerprint")
-    within = signed.select("node", "fp").join(least, "fp").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+def keys(signed: DataFrame) -> DataFrame:
+    """node, key: texts that share a key are candidates. Keys are the bands, the fingerprint, and the star that links it in the Gray index."""
+    least = materialize(signed.groupBy("fp").agg(F.min("node").alias("node")), "least-by-fingerprint")
     near = materialize(simhash.links(least.select("fp")), "fingerprint-links")
-    end = lambda c, name: least.select(F.col("fp").alias(c), F.col("m").alias(name))
-    linked = within.union(near.join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rows = signed.select("node", F.explode("keys").alias("key"))
+    ends = near.select(F.col("u").alias("fp"), "v").union(near.select(F.col("v").alias("fp"), "v").distinct())
+    stars = materialize(ends.join(least, "fp").select("node", F.xxhash64(F.lit("star"), "v").alias("key")), "fingerprint-stars")
+    banded = signed.select("node", F.explode("keys").alias("key"))
+    return banded.union(signed.select("node", F.xxhash64(F.lit("equal"), "fp").alias("key"))).union(stars)
+
+
+def blocks(keyed: DataFrame) -> DataFrame:
+    """node, root: the texts that share a key with another text, and the least text that such steps reach."""
     # Written, so that the join deals both of its sides and a key of very many texts is split at run time.
-    shared = materialize(rows.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m"), "shared-bands")
-    stars = rows.join(shared, "key").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
-    return components(materialize(stars.union(linked).distinct(), "stars"))
+    shared = materialize(keyed.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("key", "m"), "shared-keys")
+    stars = keyed.join(shared, "key").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    return materialize(components(materialize(stars.distinct(), "stars")), "blocks")
 
 
 def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
@@ -131,19 +138,12 @@ def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
     return labels
 
 
-def links(docs: DataFrame, block: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """links (u, v) that connect all texts of a block that are similar."""
-    sizes = block.groupBy("root").count().where(F.col("count") > chunk).select("root", F.ceil(F.col("count") * 2 / chunk).cast("int").alias("chunks"))
-    placed = block.join(F.broadcast(sizes), "root", "left")
-    # Written, so that the join with the texts deals both of its sides.
-    placed = materialize(placed, "blocks")
+def meet(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed (root, node, task) -> links (u, v) that connect all texts of a task that are similar."""
+    placed = materialize(placed, "near-tasks")
     texts = docs.select(text_key().alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(placed, "node").dropDuplicates(["node"])
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != own)
-    pairs = F.transform(others, lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
-    rows = rows.withColumn("task", F.explode(F.when(F.col("chunks") > 1, pairs).otherwise(F.array(F.lit(0)))))
-    rows = rows.repartition("root", "task").sortWithinPartitions("root", "task", "node")
+    texts = texts.join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = texts.join(placed, "node").repartition("root", "task").sortWithinPartitions("root", "task", "node")
 
     def run(batches):
         held, now = [], None
@@ -165,15 +165,69 @@ def links(docs: DataFrame, block: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     held.append((columns[2][i], shingles(text)))
         yield from emit()
 
-    return rows.select("root", "task", "node", "text").mapInArrow(run, "u bigint, v bigint")
+    return materialize(rows.select("root", "task", "node", "text").mapInArrow(run, "u bigint, v bigint"), "near-links")
+
+
+def own_chunk(chunks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), chunks).cast("bigint")
+
+
+def links(docs: DataFrame, keyed: DataFrame, block: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """links (u, v) that connect all candidates that are similar."""
+    crowded = block.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    crowded = materialize(crowded.select("root", F.ceil(F.col("n") * 2 / chunk).cast("bigint").alias("chunks")), "crowded-blocks")
+    small = block.join(crowded, "root", "left_anti").select("root", "node", F.lit(0).cast("bigint").alias("task"))
+    if crowded.isEmpty():
+        return meet(docs, small)
+    # Each text of a crowded block meets one chunk of it and the block's guests, who come to all chunks.
+    large = materialize(block.join(crowded, "root").select("root", "node", "chunks"), "crowded-texts")
+    draws = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("draw"), "node")).alias(f"guest{i}") for i in range(GUESTS)]
+    guests = large.groupBy("root", "chunks").agg(*draws)
+    guests = guests.select("root", "chunks", F.explode(F.array_distinct(F.array(*[F.col(f"guest{i}.node") for i in range(GUESTS)]))).alias("node"))
+    visits = guests.select("root", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("task"))
+    stay = large.select("root", "node", own_chunk(F.col("chunks")).alias("task"))
+    first = meet(docs, small.union(stay.union(visits).distinct()))
+    return first.union(meet(docs, unsettled(keyed, large, components(first), chunk)))
+
+
+def unsettled(keyed: DataFrame, large: DataFrame, roots: DataFrame, chunk: int) -> DataFrame:
+    """root, node, task: what has to meet yet so that all candidates of crowded blocks have met or are in one component.
+
+    Groups are a block's keys, or the block as a whole, whichever takes fewer copies of texts. Those whose texts are all in
+    one component (a part) are settled. Of the others the largest part's texts need not meet each other again, so that they
+    are copied once for each chunk of the rest.
+    """
+    named = roots.select("node", F.col("root").alias("name"))
+    parts = materialize(large.join(named, "node", "left").select("root", "node", F.coalesce("name", "node").alias("part")), "parts")
+    whole = parts.select("root", F.col("root").alias("key"), "node", "part", F.lit(True).alias("whole"))
+    rows = keyed.join(parts, "node").select("root", "key", "node", "part", F.lit(False).alias("whole")).distinct()
+    rows = materialize(rows.union(whole), "crowded-groups")
+    group = ["root", "whole", "key"]
+    counts = rows.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("n"))
+    plan = counts.groupBy(*group).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    several = lambda n: F.when(F.col("n") > chunk, F.ceil(n * 2 / chunk)).otherwise(1).cast("bigint")
+    plan = plan.select(*group, "main", "most", "n", several(F.col("most")).alias("a"), several(F.col("n") - F.col("most")).alias("b"))
+    copies = F.when(F.col("n") > chunk, F.expr("most * b + (n - most) * (a + b - 1)")).otherwise(F.col("n")).cast("double")
+    plan = materialize(plan.withColumn("copies", copies), "unsettled-groups")
+    total = lambda kind: F.coalesce(F.sum(F.when(kind, F.col("copies"))), F.lit(0.0))
+    chosen = plan.groupBy("root").agg((total(F.col("whole")) <= total(~F.col("whole"))).alias("whole"))
+    rows = rows.join(plan.join(chosen, ["root", "whole"]).drop("root", "n"), ["whole", "key"])
+    a, b, is_main, zero = F.col("a"), F.col("b"), F.col("part") == F.col("main"), F.lit(0).cast("bigint")
+    own = own_chunk(F.when(is_main, a).otherwise(b))
+    to_rest = F.transform(F.sequence(zero, b - 1), lambda i: i * a + own)
+    to_main = F.transform(F.sequence(zero, a - 1), lambda j: own * a + j)
+    others = F.filter(F.sequence(zero, b - 1), lambda k: k != own)
+    among = F.transform(others, lambda k: a * b + F.least(k, own) * b + F.greatest(k, own))
+    tasks = F.when(is_main, to_rest).otherwise(F.concat(to_main, among))
+    return rows.select(F.col("key").alias("root"), "node", F.explode(tasks).alias("task"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows that stay: of each component of near copies one document."""
     doc, node = (free_name(docs.columns, n) for n in ("gone_doc", "gone_node"))
     signed = materialize(signatures(docs), "signatures")
-    block = blocks(signed)
-    roots = materialize(components(materialize(links(docs, block), "near-links")), "near-components")
+    keyed = keys(signed)
+    roots = materialize(components(links(docs, keyed, blocks(keyed))), "near-components")
     placed = materialize(signed.select("doc_id", "node").join(roots, "node"), "near-rows")
     # Structs order by doc_id, null last, then by text key.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")

@@ -64,8 +64,8 @@ def test_large_block_loses_no_copy(spark, monkeypatch):
     want = brute_kept(rows)
     assert 50 < len(want) < 200
     whole = N.links
-    for chunk in (1000, 40):
-        monkeypatch.setattr(N, "links", lambda d, b, c=chunk: whole(d, b, c))
+    for chunk in (1000, 40, 6):
+        monkeypatch.setattr(N, "links", lambda *tables, c=chunk: whole(*tables, c))
         assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == want
 
 
