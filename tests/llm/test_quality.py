@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -86,3 +87,36 @@ def test_forest_finds_outliers():
     x = np.r_[rng.normal(0, 1, (2000, 4)), rng.normal(9, 1, (20, 4))]
     score = Q.IsolationForest(x).score(x)
     assert score[2000:].min() > np.quantile(score[:2000], 0.99)
+
+
+def test_every_labelled_row_counts(spark):
+    """The forest and the threshold are those of all labelled rows together, however these are dealt."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.fit(docs, labels)
+    known = labels.where("quality IS NOT NULL").selectExpr("doc_id", "quality").withColumn("held", F.expr("pmod(xxhash64(doc_id, 'half'), 2) = 1"))
+    rows = Q.measure(docs).where(Q.PASSED).join(known, "doc_id").toPandas()
+    good, held = rows.quality.to_numpy() == 1, rows.held.to_numpy()
+    s = {c: rows[c].to_numpy() for c in Q.COUNTS + Q.MORE}
+    prior = Q.usual({c: v[good & ~held] for c, v in s.items()})
+    x = Q.features(s, prior)
+    forest = Q.IsolationForest(x[good & ~held], x[~held])
+    assert model.prior == prior and (model.forest.path == forest.path).all() and (model.forest.split == forest.split).all()
+    assert model.threshold == Q.cut(forest.score(x[held]), good[held])
+    assert (model.forest.visits(x[good & ~held]).sum(axis=1) == (good & ~held).sum()).all()
+    again = Q.fit_measured(Q.measure(docs.repartition(13)), labels.repartition(3))
+    assert (again.forest.path == forest.path).all() and again.threshold == model.threshold
+
+
+def test_good_rows_beyond_the_smallest_hashes(spark):
+    """Good rows in capitals, none of them among the 8192 labels with the smallest hashes, are known as good."""
+    order = spark.range(12000).selectExpr("id AS doc_id", "row_number() OVER (ORDER BY xxhash64(id), id) AS place").toPandas()
+    rng, rows = random.Random(1), []
+    for doc_id, place in zip(order.doc_id.tolist(), order.place.tolist(), strict=True):
+        words = ["abcdefghij"[: rng.randint(3, 9)] + str(rng.random())[2:4] for _ in range(40)]
+        bad, late = place % 10 == 0, place > 8192
+        text = " ".join(w.upper() if (late or bad) and rng.random() < 0.5 else w for w in words)
+        rows.append((doc_id, text + " #$%&|" * 12 if bad else text, int(not bad), late))
+    rows = spark.createDataFrame(rows, "doc_id long, text string, quality int, late boolean")
+    out = Q.judge(rows, Q.fit(rows, rows.select("doc_id", "quality"))).join(rows.select("doc_id", "quality", "late"), "doc_id").toPandas()
+    assert not out.base_failed.any() and not out[out.quality == 0].kept.any()
+    assert out[(out.quality == 1) & out.late].kept.mean() >= 0.97 and out[(out.quality == 1) & ~out.late].kept.mean() >= 0.97
