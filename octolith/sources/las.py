@@ -20,6 +20,8 @@ from octolith.sources import codecs
 from octolith.sources.files import exists, expand, open_fs
 
 SPLIT = 1_000_000
+#: Where splits are more than this, partitions take several of them, one after the other.
+PARTITIONS = 2000
 HEADER_SCHEMA = "file_id int, path string, n_points bigint, point_format int, low_x double, low_y double, low_z double, high_x double, high_y double, high_z double, scale_x double, offset_x double, offset_y double, offset_z double"
 TYPES = {"double": pa.float64(), "smallint": pa.int16(), "int": pa.int32(), "tinyint": pa.int8(), "float": pa.float32(), "bigint": pa.int64()}
 
@@ -49,11 +51,16 @@ def input_files(sources: list[str], ignore: IgnoreErrors = IgnoreErrors.NONE) ->
     return out
 
 
-class Slice(InputPartition):
+class Slice:
     def __init__(self, file_id: int, path: str, start: int, count: int):
         self.file_id, self.path, self.start, self.count = file_id, path, start, count
 
 
+class Slices(InputPartition):
+    def __init__(self, slices: list[Slice]):
+        self.slices = slices
+
+
 class LasReader(DataSourceReader):
     def __init__(self, options: dict, columns: list[tuple[str, str]]):
         self.columns = columns
@@ -64,7 +71,7 @@ class LasReader(DataSourceReader):
 
     def partitions(self):
         if self.header:
-            return [Slice(i, f, 0, 0) for i, f in enumerate(self.files)]
+            return [Slices([Slice(i, f, 0, 0)]) for i, f in enumerate(self.files)]
         out = []
         for i, f in enumerate(self.files):
             try:
@@ -74,13 +81,19 @@ class LasReader(DataSourceReader):
                     raise
                 continue
             out += [Slice(i, f, a, min(self.split, n - a)) for a in range(0, n, self.split)]
-        return out or [Slice(0, "", 0, 0)]
+        each = -(-len(out) // PARTITIONS)
+        return [Slices(out[a : a + each]) for a in range(0, len(out), each or 1)] or [Slices([])]
 
-    def read(self, part: Slice):
-        if not part.path:
-            return
+    def read(self, part: Slices):
+        heads: dict[str, dict] = {}
+        for piece in part.slices:
+            yield from self.read_slice(piece, heads)
+
+    def read_slice(self, part: Slice, heads: dict[str, dict]):
         try:
-            head = read_header(part.path)
+            if part.path not in heads:
+                heads[part.path] = read_header(part.path)
+            head = heads[part.path]
             if self.header:
                 values = [part.file_id, part.path, head["n_points"], head["point_format"], *head["low"], *head["high"], head["scale"][0], *head["offset"]]
                 fields = [x.split() for x in HEADER_SCHEMA.split(", ")]
