@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyarrow import fs as pafs
 
@@ -18,11 +19,17 @@ def open_fs(uri: str):
 
 def write_whole(uri: str, data: bytes) -> None:
     """Under a temporary name first, so that a repeated task leaves one whole file."""
+    write_pieces(uri, [data])
+
+
+def write_pieces(uri: str, pieces: Iterable[bytes]) -> None:
+    """One file of bytes that come in pieces."""
     fs, path = open_fs(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(part, compression=None) as f:
-        f.write(data)
+        for data in pieces:
+            f.write(data)
     fs.move(part, path)
 
 

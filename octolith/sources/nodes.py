@@ -19,7 +19,7 @@ from octolith.functions import geometry as G
 from octolith.functions import morton as M
 from octolith.operators import tree
 from octolith.sources import codecs
-from octolith.sources.files import clear_directory, exists, read_whole, write_whole
+from octolith.sources.files import clear_directory, exists, read_whole, write_pieces, write_whole
 
 #: Extension, and whether positions come back as they were.
 EXTENSIONS = {"BIN": (".bin", True), "BINZ": (".binz", True), "LAS": (".las", False), "ENTWINE_LAS": (".las", False), "3DTILES": (".pnts", True)}
@@ -58,11 +58,20 @@ def to_numpy(table: pa.Table) -> codecs.Points:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
+#: Points of a node that a task holds; what a larger node has more goes through temporary files.
+HELD = 500_000
+
+
+def name_of(idx: int, lvl: int) -> str:
+    return "r" + (f"{idx:o}".zfill(lvl) if lvl else "")
+
+
 def write_nodes(tiled: DataFrame, out: str, fmt: str, bounds: G.Bounds, rgb_from: str = "NONE") -> DataFrame:
     """Write each node's points to its file; node_idx, node_lvl, node_name, n of what was written.
 
     tiled: points with node_idx, node_lvl, node_name, and perhaps ox, oy, oz: the position that a node's points count
-    from. A node's file holds its points in key order.
+    from. A node's file holds its points in key order. Tasks get nodes as sorted streams; names and what isn't written
+    aren't dealt.
     """
     check_format(fmt)
     if fmt == "3DTILES" and rgb_from != "NONE" and "intensity" in tiled.columns:
@@ -71,16 +80,46 @@ def write_nodes(tiled: DataFrame, out: str, fmt: str, bounds: G.Bounds, rgb_from
     keep = [c for c, _ in schema.columns_of(schema.attributes_of(tiled) & schema.FORMATS[fmt])]
     order = "morton" if "morton" in tiled.columns else "x"
     origin = [c for c in ("ox", "oy", "oz") if c in tiled.columns]
-
-    def write(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        name = table.column("node_name")[0].as_py()
-        centre = tuple(table.column(c)[0].as_py() for c in origin) or (0.0, 0.0, 0.0)
-        write_whole(path_of(out, fmt, name), encode_node(to_numpy(table.select(keep)), fmt, bounds, name, centre))
-        return table.slice(0, 1).select(["node_idx", "node_lvl", "node_name"]).append_column("n", pa.array([table.num_rows], pa.int64()))
-
-    rows = tiled.select("node_idx", "node_lvl", "node_name", *dict.fromkeys([*keep, order, *origin]))
-    return rows.groupBy("node_name").applyInArrow(write, WRITTEN)
+    key = ["node_idx", "node_lvl"]
+
+    def finish(now, spool: codecs.Spool | None, tables: list[pa.Table], n: int, centre) -> pa.RecordBatch:
+        name, points = name_of(*now), to_numpy(pa.concat_tables(tables).select(keep))
+        path = path_of(out, fmt, name)
+        if spool is None:
+            write_whole(path, encode_node(points, fmt, bounds, name, centre))
+        else:
+            box = bounds.node(name)
+            spool.add(points, box.low, box.high)
+            write_pieces(path, spool.file(points, n, box.low, box.high, centre))
+            spool.close()
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*now, name, n), (pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["node_idx", "node_lvl", "node_name", "n"])
+
+    def write(batches):
+        now, spool, tables, held, n, centre = None, None, [], 0, 0, (0.0, 0.0, 0.0)
+        for batch in batches:
+            idx, lvl = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in key)
+            edges = [0, *(np.flatnonzero((idx[1:] != idx[:-1]) | (lvl[1:] != lvl[:-1])) + 1).tolist(), len(idx)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                at = (int(idx[a]), int(lvl[a]))
+                if at != now:
+                    if now is not None:
+                        yield finish(now, spool, tables, n, centre)
+                    now, spool, tables, held, n = at, None, [], 0, 0
+                    centre = tuple(batch.column(batch.schema.get_field_index(c))[a].as_py() for c in origin) or centre
+                n, held = n + b - a, held + b - a
+                tables.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+                if held >= HELD:
+                    spool = spool or codecs.Spool(fmt)
+                    box = bounds.node(name_of(*at))
+                    spool.add(to_numpy(pa.concat_tables(tables).select(keep)), box.low, box.high)
+                    tables, held = [tables[-1].slice(0, 0)], 0
+        if now is not None:
+            yield finish(now, spool, tables, n, centre)
+
+    rows = tiled.select(*key, *dict.fromkeys([*keep, order, *origin]))
+    return rows.repartition(*key).sortWithinPartitions(*key, order).mapInArrow(write, WRITTEN)
 
 
 def read_nodes(spark: SparkSession, folder: str, fmt: str, attributes=None, bounds: G.Bounds | None = None) -> DataFrame:
@@ -93,22 +132,33 @@ def read_nodes(spark: SparkSession, folder: str, fmt: str, attributes=None, boun
     columns = schema.columns_of(wanted)
     root = f"{folder}/ept-data" if fmt.startswith("ENTWINE") else folder
 
+    types = {"double": pa.float64(), "float": pa.float32(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
+
+    def pieces(data):
+        """A file's points, HELD at a time."""
+        if fmt in ("LAS", "ENTWINE_LAS"):
+            head = codecs.las_header(data)
+            at, size, n = head["point_offset"], head["record_length"], head["n_points"]
+            for a in range(0, n, HELD):
+                yield codecs.decode_las(data[at + a * size : at + min(a + HELD, n) * size], head, wanted)
+            return
+        if fmt in ("BIN", "BINZ"):
+            points, centre = codecs.decode_bin(data, fmt == "BINZ"), (0.0, 0.0, 0.0)
+        else:
+            points, centre = codecs.decode_pnts(bytes(data))
+        for a in range(0, codecs.count(points), HELD):
+            part = {c: v[a : a + HELD] for c, v in points.items()}
+            if fmt == "3DTILES":
+                part |= {c: part[c] + o for c, o in zip("xyz", centre, strict=True)}
+            yield part
+
     def decode(batches):
         for batch in batches:
-            for name, data in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if fmt in ("BIN", "BINZ"):
-                    points = codecs.decode_bin(data, fmt == "BINZ")
-                elif fmt == "3DTILES":
-                    points, centre = codecs.decode_pnts(data)
-                    for c, o in zip("xyz", centre, strict=True):
-                        points[c] = points[c] + o
-                else:
-                    head = codecs.las_header(data)
-                    points = codecs.decode_las(data[head["point_offset"] :][: head["n_points"] * head["record_length"]], head, wanted)
-                n = codecs.count(points)
-                types = {"double": pa.float64(), "float": pa.float32(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
-                arrays = [pa.array(np.ascontiguousarray(points[c]) if c in points else np.zeros(n)).cast(types[t], safe=False) for c, t in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), *arrays], names=["file", *(c for c, _ in columns)])
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                for points in pieces(memoryview(data.as_buffer())):
+                    n = codecs.count(points)
+                    arrays = [pa.array(np.ascontiguousarray(points[c]) if c in points else np.zeros(n)).cast(types[t], safe=False) for c, t in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name, object), pa.string()), *arrays], names=["file", *(c for c, _ in columns)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(root)
     files = files.select(F.regexp_extract("path", r"([^/]+)\.[A-Za-z]+$", 1).alias("name"), "content")
