@@ -49,3 +49,13 @@ def test_deep_trees_go_down_together(spark, crowd, monkeypatch):
     out = tiling.tile_deep(crowd, ["id"], 40, sampling="RANDOM_GRID", bounds=G.Bounds((0.0,) * 3, (2.0**24,) * 3), spacing=2.0**22, max_points_per_node=100)
     assert out.agg(F.count(F.lit(1)), F.countDistinct("id")).first()[:] == (5000, 5000)
     assert len(written) < 16
+
+
+def test_accurate_trees_are_dealt_once(spark, crowd, monkeypatch):
+    """One table of a dataset's points, not one a level."""
+    written = []
+    monkeypatch.setattr(tiling, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    for sampling in ("RANDOM_GRID", "GRID_CENTER", "JITTERED"):
+        out, _ = tiling.tile(crowd, ["id"], sampling, "ACCURATE", diagonal_fraction=30, max_points_per_node=20)
+        assert out.count() == 5000 and out.agg(F.max("node_lvl")).first()[0] > 3
+    assert len(written) == 3
